@@ -1,0 +1,38 @@
+"""Catalog of queries: name -> (spark, sf_dir) -> DataFrame, and SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and, where SQL expresses it, its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as signal points: idx, signal_id, ts, kind, value."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_id").alias("idx"), F.col("user_id").alias("signal_id"), "ts", F.col("event_type").alias("kind"), "value")
+
+
+@query(
+    "low_last_value",
+    "SELECT user_id AS signal_id, max(event_id) AS idx, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(value, event_id) < 5",
+)
+def low_last_value(spark, d):
+    last = points(spark, d).groupBy("signal_id").agg(F.max(F.struct("idx", "value")).alias("r"))
+    return last.select("signal_id", "r.idx", "r.value").filter("value < 5")
