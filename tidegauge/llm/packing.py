@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +30,12 @@ class ByteBPE:
     """Ids of a byte-level BPE file, equal to those of the tokenizers library.
 
     Ordinary text goes through tiktoken with the file's own vocabulary as
-    ranks; texts that hold a special token's string go through tokenizers.
+    ranks; texts that hold a special token's string, or characters on whose
+    class the two libraries' Unicode tables may differ, go through tokenizers.
     """
 
+    RARE = re.compile("[^\\x00-\u052f\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
@@ -47,7 +51,7 @@ class ByteBPE:
         self.whole = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if (not text.isascii() and self.RARE.search(text)) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lsm_dedup, packing
+from . import bpe, lsm_dedup, ogg, packing, secrets_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ogg": ogg.op2_ogg,
+        "op3_secrets": secrets_scan.op3_secrets,
         "op7_packing": packing.op7_packing,
+        "op9_bpe": bpe.op9_bpe,
         "op10_exact_dedup": lsm_dedup.op10_exact_dedup,
     }
 
