@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lsm_dedup, ogg, packing, secrets_scan
+from . import bpe, lsm_dedup, ogg, packing, secrets_scan, toxicity, url_lm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ogg": ogg.op2_ogg,
         "op3_secrets": secrets_scan.op3_secrets,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_url_filter": url_lm.op5_url_filter,
+        "op6_warc": warc.op6_warc,
         "op7_packing": packing.op7_packing,
         "op9_bpe": bpe.op9_bpe,
         "op10_exact_dedup": lsm_dedup.op10_exact_dedup,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": lsm_dedup.SQL}
+    return {"op6_warc": warc.SQL, "op10_exact_dedup": lsm_dedup.SQL}
