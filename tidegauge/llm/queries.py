@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lsm_dedup, ogg, packing, secrets_scan, toxicity, url_lm, warc
+from . import bpe, lsm_dedup, neardup, ogg, packing, secrets_scan, toxicity, url_lm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": url_lm.op5_url_filter,
         "op6_warc": warc.op6_warc,
         "op7_packing": packing.op7_packing,
+        "op8_minhash": neardup.op8_minhash,
         "op9_bpe": bpe.op9_bpe,
         "op10_exact_dedup": lsm_dedup.op10_exact_dedup,
     }
