@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lsm_dedup, neardup, ogg, packing, secrets_scan, toxicity, url_lm, warc
+from . import bpe, lsm_dedup, neardup, ogg, packing, secrets_scan, substring, toxicity, url_lm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": substring.op1_substring,
         "op2_ogg": ogg.op2_ogg,
         "op3_secrets": secrets_scan.op3_secrets,
         "op4_toxicity": toxicity.op4_toxicity,
