@@ -1,38 +1,51 @@
-"""Connected components by alternating stars, without a driver-side graph."""
+"""Connected components by hooking and pointer jumping, without a driver-side graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import maybe_broadcast, stored
 
+BROADCAST_ROWS = 500_000  # pointers that are broadcast at most; beyond, tables are joined
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return tuple(r)
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, parent) in which parents are smaller.
+
+    Every round doubles the reach of a pointer.
+    """
+    p = stored(parents.toDF("node", "root"), "pointers")
+    while True:
+        up = maybe_broadcast(p.toDF("root", "above"), BROADCAST_ROWS)
+        q = stored(p.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "pointers")
+        p = q.select("node", "root")
+        if q.filter("moved").isEmpty():
+            return p
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node with an edge; the root is its smallest reachable.
+    """(node, root) for every node with an edge to another; the root is its
+    component's smallest node, which has no row.
 
-    ``edges`` has two long columns. Each round links, for every node, its larger
-    neighbours and then its smaller ones to the smallest; the edges become stars
-    after a number of rounds that grows with the logarithm of the longest path.
-    Every round is written to the shared folder, so lineage does not grow.
+    ``edges`` has two long columns. Each round hooks every node to its smallest
+    smaller neighbour, follows the pointers to their roots, and contracts the
+    edges; contracted graphs shrink fast. Rounds are written to the shared folder.
     """
-    a, b = edges.columns
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    e = stored(e, "edges")
-    state = _state(e)
-    while state[0]:
-        sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _state(e)
-        if state == before:
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    e = stored(edges.toDF("u", "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
+    found: DataFrame | None = None
+    while found is None or not e.isEmpty():
+        step = roots(e.groupBy("u").agg(F.min("v").alias("p")))
+        if found is None:
+            found = step
+        else:
+            on = maybe_broadcast(step.toDF("root", "next"), BROADCAST_ROWS)
+            moved = found.join(on, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            # nodes that were roots until now
+            fresh = step.join(found.select("node"), "node", "left_anti")
+            found = stored(moved.union(fresh), "found")
+        for c in ("u", "v"):
+            to = maybe_broadcast(step.toDF(c, "to"), BROADCAST_ROWS)
+            e = e.join(to, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "edges")
+    return found

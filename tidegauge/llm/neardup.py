@@ -9,9 +9,9 @@ probability 0.00003, above that more rarely.)
 
 Sets, not documents, are joined; copies stay in their task's row until the end.
 Within a bucket no pairs are emitted: members are first linked to the bucket's
-smallest member, verified on full sets, and grouped. Only buckets that still
-hold more than one group are searched through by signature distance, between
-groups, in cells of bounded size.
+smallest member, verified on full sets, and grouped. Only groups that still meet
+in a bucket are searched through, by signature distance and then on full sets,
+between groups and in cells of bounded size; links come out, never pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import lower_ascii, maybe_broadcast, mix64, shingle_hashes, slices, span_hashes, stored, table, text_bytes, word_spans
-from .components import components
+from .components import components, roots
 
 K = 5  # words in a shingle
 SYMBOLS, CHUNKS = 64, 16
@@ -34,7 +34,8 @@ WIDTH = SYMBOLS // CHUNKS
 THRESHOLD = 2 * CHUNKS - 1  # beyond it every chunk may have two errors
 NUMERATOR, DENOMINATOR = 75, 100
 FLUSH_SETS, FLUSH_IDS = 20_000, 1_000_000  # what a task gathers before it emits
-CELL = 20_000  # signatures of a bucket held at once
+CELL_SETS, CELL_SHINGLES = 1024, 1_000_000  # sets held at once, and their shingles
+SHARE = 4096  # rows that one cell streams past them
 BROADCAST_ROWS = 500_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -165,12 +166,13 @@ def first_links(nodes: DataFrame) -> DataFrame:
     return best.select(F.col("node").alias("a"), (-F.col("b.h")).alias("b"))
 
 
-def group_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs between groups that share a bucket and pass the signature threshold.
+def open_members(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes of buckets that hold more than one group: node, n, sig, grp, low.
 
     ``groups`` (node, root) names the group of a node; others are on their own.
+    ``low`` is the smallest group of such a bucket.
     """
-    known = stored(nodes.join(groups, "node", "left").select("node", "n", "sig", F.coalesce("root", "node").alias("grp")), "mih-grouped")
+    known = stored(nodes.join(maybe_broadcast(groups, BROADCAST_ROWS), "node", "left").select("node", "n", "sig", F.coalesce("root", "node").alias("grp")), "mih-grouped")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,13 +181,11 @@ def group_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
                 flat, grp = keys.ravel(), np.repeat(b.column("grp").to_numpy(), keys.shape[1])
                 by = np.lexsort((grp, flat))
                 flat, grp = flat[by], grp[by]
-                fresh = np.r_[True, (flat[1:] != flat[:-1]) | (grp[1:] != grp[:-1])]
-                sizes = np.diff(np.r_[np.flatnonzero(fresh), len(flat)])
-                yield _batch(key=flat[fresh], grp=grp[fresh], size=sizes)
+                first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+                yield _batch(key=flat[first], low=grp[first], high=grp[np.r_[first[1:], len(flat)] - 1])
 
-    per_group = known.select("sig", "grp").mapInArrow(heads, "key long, grp long, size long").groupBy("key", "grp").agg(F.sum("size").alias("size"))
-    open_ = per_group.groupBy("key").agg(F.sum("size").alias("total"), F.max(F.struct("size", "grp")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = stored(open_.select("key", F.col("top.grp").alias("main"), (F.col("total") - F.col("top.size")).alias("others"), "total"), "mih-open")
+    spans = known.select("sig", "grp").mapInArrow(heads, "key long, low long, high long")
+    opened = stored(spans.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "low"), "mih-open")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,61 +195,127 @@ def group_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(c).take(row) for c in ("node", "grp"))], names=["key", "node", "grp"])
 
     rows = known.select("node", "sig", "grp").mapInArrow(members, "key long, node long, grp long")
-    rows = rows.join(maybe_broadcast(open_, BROADCAST_ROWS), "key")
-    # a cell holds a block of the smaller groups' rows and streams a share of all rows past it
-    blocks, shares = (F.greatest(F.lit(1), F.ceil(F.col(c) / CELL)).cast("int") for c in ("others", "total"))
+    met = rows.join(maybe_broadcast(opened, BROADCAST_ROWS), "key").groupBy("node", "grp").agg(F.collect_set("low").alias("lows"))
+    return stored(met.join(known.select("node", "n", "sig"), "node"), "mih-met")
+
+
+def group_links(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """Links (a, b) between groups that meet in a bucket, verified on full sets.
+
+    Groups that meet, directly or through others, form a neighbourhood. Its
+    largest group is only streamed; the sets of the others are held in blocks of
+    one size class (similar sets are of the same or a neighbouring class). A cell
+    takes one block and a share of the rows; it never emits pairs, but at most one
+    link for each two groups that it joins.
+    """
+    hoods = components(met.select(F.explode("lows").alias("low"), "grp"))
+    size_class = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
+    m = met.select("node", "n", "sig", "grp", size_class.alias("cls")).join(maybe_broadcast(hoods.toDF("grp", "root"), BROADCAST_ROWS), "grp", "left")
+    m = stored(m.select("node", "n", "sig", "grp", "cls", F.coalesce("root", "grp").alias("hood")), "mih-hoods")
+    main = m.groupBy("hood", "grp").agg(F.count("*").alias("c")).groupBy("hood").agg(F.max(F.struct("c", "grp")).alias("t")).select("hood", F.col("t.grp").alias("main"))
+    m = m.join(maybe_broadcast(stored(main, "mih-main"), BROADCAST_ROWS), "hood")
     spot = F.xxhash64("node")
-    rows = rows.withColumns({"blocks": blocks, "shares": shares})
-    streamed = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(spot, F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), "node", "grp")
-    held = rows.filter("grp <> main").select("key", F.pmod(spot, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "node", "grp")
-    cells = streamed.union(held).join(known.select("node", "n", "sig"), "node")
-    cells = cells.repartition("key", "block", "share").sortWithinPartitions("key", "block", "share", "role", "node")
+    blocks = F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_SHINGLES)).cast("int")
+    held_blocks = stored(m.filter("grp <> main").groupBy("hood", "cls").agg(blocks.alias("blocks")), "mih-blocks")
+    shares = stored(m.groupBy("hood").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "mih-shares")
+    m = m.join(maybe_broadcast(shares, BROADCAST_ROWS), "hood")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    held = m.filter("grp <> main").join(maybe_broadcast(held_blocks, BROADCAST_ROWS), ["hood", "cls"])
+    held = held.select("hood", "cls", F.pmod(spot, F.col("blocks")).cast("int").alias("block"), F.explode(every("shares")).alias("share"), F.lit(0).alias("role"), "node", "n", "sig", "grp")
+    near = m.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(maybe_broadcast(held_blocks, BROADCAST_ROWS), ["hood", "cls"])
+    streamed = near.select("hood", "cls", F.explode(every("blocks")).alias("block"), F.pmod(spot, F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), "node", "n", "sig", "grp")
+    found = bodies(docs, nodes, m.select("node").distinct())
+    cells = held.union(streamed).join(found, "node")
+    cells = cells.repartition("hood", "cls", "block", "share").sortWithinPartitions("hood", "cls", "block", "share", "role", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell: tuple | None = None
-        kept: list[tuple] = []
-        done: set[tuple[int, int]] = set()
-        for b in batches:
-            key, block, share, role, node, grp, n = (b.column(c).to_numpy() for c in ("key", "block", "share", "role", "node", "grp", "n"))
-            sig = _signatures(b.column("sig")) if b.num_rows else np.zeros((0, SYMBOLS), np.uint16)
-            change = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (share[1:] != share[:-1]) | (role[1:] != role[:-1])]) if b.num_rows else []
-            left, right = [], []
-            for s, e in zip(change, [*change[1:], b.num_rows], strict=True):
-                here = (key[s], block[s], share[s])
-                if here != cell:
-                    cell, kept = here, []
-                part = (node[s:e], grp[s:e], n[s:e], sig[s:e])
-                if role[s] == 0:
-                    kept.append(part)
-                    continue
-                for hn, hg, hs, hsig in kept:
-                    for i in range(len(hn)):
-                        ok = (part[1] != hg[i]) & (np.minimum(part[2], hs[i]) * DENOMINATOR >= np.maximum(part[2], hs[i]) * NUMERATOR)
-                        at = np.flatnonzero(ok)
-                        if len(at):
-                            at = at[np.count_nonzero(part[3][at] != hsig[i], axis=1) <= THRESHOLD]
-                            left += [int(hn[i])] * len(at)
-                            right += part[0][at].tolist()
-            fresh = {(max(p), min(p)) for p in zip(left, right, strict=True)} - done
-            if len(done) < 1_000_000:
-                done |= fresh
-            if fresh:
-                a, c = zip(*sorted(fresh), strict=True)
+        unpack = zstandard.ZstdDecompressor()
+        here: tuple | None = None
+        cell = Cell()
+        for b in slices(batches, "body", 1 << 20):
+            spots = list(zip(*(b.column(c).to_pylist() for c in ("hood", "cls", "block", "share")), strict=True))
+            sets = shingle_sets(pa.array([unpack.decompress(x) for x in b.column("body").to_pylist()], pa.large_binary()))
+            sig, role, node, grp = _signatures(b.column("sig")), *(b.column(c).to_pylist() for c in ("role", "node", "grp"))
+            links = []
+            for i, s in enumerate(spots):
+                if s != here:
+                    here, cell = s, Cell()
+                if role[i] == 0:
+                    cell.hold(node[i], grp[i], sig[i], sets[i])
+                else:
+                    links += cell.links(node[i], grp[i], sig[i], sets[i])
+            if links:
+                a, c = zip(*links, strict=True)
                 yield _batch(a=np.array(a, np.int64), b=np.array(c, np.int64))
 
-    return cells.mapInArrow(compare, "a long, b long").distinct()
-
+    return cells.select("hood", "cls", "block", "share", "role", "node", "grp", "sig", "body").mapInArrow(compare, "a long, b long")
+
+
+class Cell:
+    """Held sets, and the groups that links found here have joined."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.groups: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.sigs: list[np.ndarray] = []
+        self.up: dict[int, int] = {}
+        self.ready = False
+
+    def hold(self, node: int, group: int, sig: np.ndarray, shingles: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.groups.append(group)
+        self.sets.append(shingles)
+        self.sigs.append(sig)
+
+    def root(self, g: int) -> int:
+        while (up := self.up.get(g, g)) != g:
+            self.up[g] = g = self.up.get(up, up)
+        return g
+
+    def prepare(self) -> None:
+        self.sig, self.size = np.stack(self.sigs), np.array([len(s) for s in self.sets])
+        self.group = np.array([self.root(g) for g in self.groups])
+        flat = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), self.size)
+        by = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[by], owner[by]
+        self.ready = True
+
+    def links(self, node: int, group: int, sig: np.ndarray, shingles: np.ndarray) -> list[tuple[int, int]]:
+        if not self.nodes:
+            return []
+        if not self.ready:
+            self.prepare()
+        n, mine = len(shingles), self.root(group)
+        fit = (self.group != mine) & (np.minimum(self.size, n) * DENOMINATOR >= np.maximum(self.size, n) * NUMERATOR)
+        at = np.flatnonzero(fit)
+        at = at[np.count_nonzero(self.sig[at] != sig, axis=1) <= THRESHOLD] if len(at) else at
+        if not len(at):
+            return []
+        if len(at) > 16:
+            # intersections with all held sets at once, from the postings of the shingles
+            lo, hi = np.searchsorted(self.flat, shingles, "left"), np.searchsorted(self.flat, shingles, "right")
+            count = hi - lo
+            spots = np.repeat(hi - np.cumsum(count), count) + np.arange(int(count.sum()))
+            both = np.bincount(self.owner[spots], minlength=len(self.nodes))[at]
+        else:
+            both = np.array([len(np.intersect1d(self.sets[i], shingles, assume_unique=True)) for i in at])
+        out = []
+        for i in at[DENOMINATOR * both >= NUMERATOR * (self.size[at] + n - both)].tolist():
+            a, b = self.root(int(self.group[i])), self.root(mine)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                self.group[self.group == max(a, b)] = min(a, b)
+                out.append((max(node, self.nodes[i]), min(node, self.nodes[i])))
+        return out
+
+
+def bodies(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, body): zstd copies of the texts of some nodes."""
+    needed = stored(needed.toDF("node").join(nodes.select("node", "cls"), "node"), "mih-needed")
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = stored(pairs, "mih-pairs")
-    sized = nodes.select("node", "n")
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").filter(small * DENOMINATOR >= large * NUMERATOR).select("a", "b")
-    pairs = stored(pairs, "mih-sized")
-    needed = stored(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("node").alias("a"), "cls"), "a"), "mih-needed")
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, "text"):
             same = [set_key(s) == c for s, c in zip(shingle_sets(b.column("text")), b.column("cls").to_pylist(), strict=True)]
@@ -258,8 +324,18 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([pack.compress(x) for x in raw], pa.binary())], names=["node", "body"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    found = text.join(maybe_broadcast(needed.toDF("node", "cls"), BROADCAST_ROWS), "node").select("node", "cls", "text").mapInArrow(bodies, "node long, body binary")
-    found = stored(found.dropDuplicates(["node"]), "mih-bodies")
+    found = text.join(maybe_broadcast(needed, BROADCAST_ROWS), "node").select("node", "cls", "text").mapInArrow(run, "node long, body binary")
+    return stored(found.dropDuplicates(["node"]), "mih-bodies")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+    pairs = stored(pairs, "mih-pairs")
+    sized = nodes.select("node", "n")
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").filter(small * DENOMINATOR >= large * NUMERATOR).select("a", "b")
+    pairs = stored(pairs, "mih-sized")
+    found = bodies(docs, nodes, pairs.select("a").union(pairs.select("b")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -300,9 +376,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes.select("cls", "node", "s.n", "s.sig"), "mih-classes")
     nodes = classes.filter("node IS NOT NULL")
     one = stored(verified(docs, nodes, first_links(nodes)), "mih-links")
-    groups = components(one)
-    two = stored(verified(docs, nodes, group_pairs(nodes, groups)), "mih-links")
-    final = components(one.union(two)) if not two.isEmpty() else groups
+    groups = roots(one)  # a node has one link, to a smaller one: a forest
+    two = stored(group_links(docs, nodes, open_members(nodes, groups)), "mih-links")
+    final = components(groups.union(two))
     named = classes.select("cls", "node").join(final, "node", "left").select("cls", F.coalesce("root", "node").alias("component_id"))
     rows = sets.select("cls", "n", "ids").join(named, "cls", "left").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     rows = rows.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
