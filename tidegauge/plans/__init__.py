@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
+from . import ingest, lossy, metrics, signals, similarity  # noqa: F401  they register their queries
+from .registry import ORACLE, QUERIES
 
-from . import catalog
-
-QUERIES = catalog.QUERIES
-ORACLE = catalog.ORACLE
+__all__ = ["ORACLE", "QUERIES"]

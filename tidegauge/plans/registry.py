@@ -1,10 +1,10 @@
-"""Catalog of queries: name -> (spark, sf_dir) -> DataFrame, and SQL."""
+"""Registry of queries: name -> (spark, sf_dir) -> DataFrame, and SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,10 +29,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("idx"), F.col("user_id").alias("signal_id"), "ts", F.col("event_type").alias("kind"), "value")
 
 
-@query(
-    "low_last_value",
-    "SELECT user_id AS signal_id, max(event_id) AS idx, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(value, event_id) < 5",
-)
-def low_last_value(spark, d):
-    last = points(spark, d).groupBy("signal_id").agg(F.max(F.struct("idx", "value")).alias("r"))
-    return last.select("signal_id", "r.idx", "r.value").filter("value < 5")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings table: id, vector, label."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def r6(c: Column | str) -> Column:
+    """Six decimals: sums of doubles depend on their order."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
