@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import metrics as m
 from tidegauge.functions import scalar as s
-from tidegauge.ml import bayes, cluster, dense, linear, models
+from tidegauge.ml import bayes, cluster, dense, linear, models, store, svm
 from tidegauge.operators import similarity, stats_index
 
 
@@ -166,3 +166,24 @@ def test_cover(lo, hi):
     nodes, edges = stats_index.cover(lo, hi, 3, base=10, fanout=4)
     got = [i for level, a, b in nodes for i in range(a * 10 * 4 ** (level - 1), (b + 1) * 10 * 4 ** (level - 1))] + [i for a, b in edges for i in range(a, b)]
     assert sorted(got) == list(range(lo, hi))
+
+
+def test_svm():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(120, 2))
+    y = np.where((x**2).sum(1) > 1.2, 1.0, -1.0)
+    assert (np.sign(svm.fit_classifier(x, y, svm.rbf(1.0), c=10).decision(x)) == y).mean() > 0.95
+    line = x @ [2.0, -1] + 0.5
+    fit = svm.fit_regressor(x, line, svm.linear(), c=10, eps=0.1)
+    assert np.abs(fit.decision(x) - line).max() < 0.15
+    flat = svm.fit_classifier(x, np.sign(line), svm.linear(), c=100)
+    assert (np.sign(flat.decision(x)) == np.sign(line)).mean() > 0.95
+
+
+def test_models_as_text():
+    m = linear.Linear(["a"], np.array([2.0]), 1.0)
+    back = store.load(store.dump(m))
+    assert back.features == ["a"] and back.intercept == 1.0
+    x = np.random.default_rng(0).normal(size=(50, 3))
+    forest = models.IsolationForest(5, 20).fit(x)
+    assert np.allclose(store.load(store.dump(forest)).score(x), forest.score(x))

@@ -81,6 +81,15 @@ def test_budget(spark, tmp_path):
     assert pipeline.recode(Paa(2), 3).window == 16
 
 
+def test_modes(tmp_path):
+    online = pipeline.mode("mabonline", str(tmp_path), budget=1000, target=0.1)
+    assert (online.budget, online.target, online.bandit) == (10, 0.1, True)
+    assert pipeline.mode("offline", str(tmp_path), budget=1000).budget == 800
+    assert pipeline.mode("offline", str(tmp_path)).codec(0.25)[1].name == "bufflossy"
+    with pytest.raises(ValueError, match="no mode"):
+        pipeline.mode("x", str(tmp_path))
+
+
 TOML = """
 segment_size = 50
 [buffer]

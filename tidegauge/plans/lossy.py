@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..codecs import predict, shape, transforms
+from ..codecs import predict, profile, shape, transforms
 from ..functions.domain import mantissa_truncated
 from ..ml import bayes, models
 from ..operators import aggregate, window
@@ -152,3 +152,32 @@ def lossy_model_agreement(spark, d):
     p = points(spark, d).select("idx", "kind", "value", "signal_id")
     model = bayes.gaussian(p, "kind", ["value", "signal_id"])
     return models.lossy_agreement(p, window.reconstruct_means(p, 4), "idx", "kind", model.predict)
+
+
+def _answers_sql(method: str, decoded: str, code: str) -> str:
+    pred = code.replace("value", "CAST(50.1 AS DOUBLE)")
+    return (
+        f"SELECT '{method}' AS method, count(*) AS n, round(sum({decoded}), 6) AS sum, max({decoded}) AS max, "
+        f"(SELECT count(*) FROM events WHERE {decoded} = (SELECT max({decoded}) FROM events)) AS max_rows, "
+        f"count(*) FILTER ({code} > {pred}) AS above, count(*) FILTER ({code} = {pred}) AS equal FROM events"
+    )
+
+
+DOMAINS = {"gorilla": ("value", "value"), "buff": ("floor(value * 256) / 256", "floor(value * 256)"), "sprintz": ("ceil(value * 100.0::DOUBLE) / 100", "ceil(value * 100.0::DOUBLE)")}
+
+
+@query("codec_answers", " UNION ALL ".join(_answers_sql(n, *x) for n, x in DOMAINS.items()))
+def codec_answers(spark, d):
+    p = points(spark, d)
+    parts = [profile.answers(p, profile.domain_of(n, 100), 50.1).select(F.lit(n).alias("method"), "n", r6("sum").alias("sum"), "max", "max_rows", "above", "equal") for n in DOMAINS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("codec_profile")
+def codec_profile(spark, d):
+    return profile.profile(points(spark, d), ["buff", "sprintz", "gorilla", "snappy", "dict", "deltabp", "dfcm"], 100, 50.1, 2000)
+
+
+@query("lossy_profile")
+def lossy_profile(spark, d):
+    return profile.lossy_profile(_segments(spark, d).select("signal_id", "seg_id", "data"), profile.default_lossy())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
-from ..ml import bayes, cluster, linear, models
+from ..ml import bayes, cluster, linear, models, svm
 from .registry import points, query, r6, vectors
 
 P = "(SELECT event_id AS idx, user_id AS signal_id, event_type AS kind, value FROM events) p"
@@ -168,6 +168,12 @@ def linear_svc(spark, d):
     return models.predictions(models.linear_svc(rows, names, "label"), rows, names).select("id", F.col("prediction").cast("int").alias("pred"))
 
 
+@query("kernel_svc")
+def kernel_svc(spark, d):
+    v = vectors(spark, d).withColumn("label", (F.col("label") % 2))
+    return svm.decide(v.select("id", "vector"), "vector", svm.svc(v, "vector", "label", svm.rbf(0.5))).select("id", "decision")
+
+
 @query("pca")
 def pca(spark, d):
     names = [f"x{i}" for i in range(8)]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -25,12 +27,14 @@ def query(name: str, sql: str | None = None):
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as signal points: idx, signal_id, ts, kind, value."""
+    ship(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.col("event_id").alias("idx"), F.col("user_id").alias("signal_id"), "ts", F.col("event_type").alias("kind"), "value")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings table: id, vector, label."""
+    ship(spark)
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +26,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed."""
+    if spark.conf.get("tidegauge.shipped", None) == spark.sparkContext.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="tidegauge-"), "tidegauge.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("tidegauge.shipped", spark.sparkContext.applicationId)

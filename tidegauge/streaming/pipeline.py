@@ -7,7 +7,6 @@ them; metrics of every recoding join exact and lossy stats by key.
 
 from __future__ import annotations
 
-import os
 import time
 from dataclasses import dataclass, field
 
@@ -120,12 +119,29 @@ class Ingest:
         return segments.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def mode(name: str, path: str, **settings) -> Ingest:
+    """The four ways to run: fixed or bandit codecs, offline (halving at 80 % of the
+    budget) or online (a target ratio from the start, recoding at once).
+    """
+    kinds = {"offline": (False, False), "maboffline": (True, False), "online": (False, True), "mabonline": (True, True)}
+    if name not in kinds:
+        raise ValueError(f"no mode {name}; one of {', '.join(kinds)}")
+    bandit, online = kinds[name]
+    budget = settings.pop("budget", 1 << 20)
+    target = settings.pop("target", 0.25) if online else None
+    return Ingest(path, budget=int(budget * (0.01 if online else 0.8)), target=target, bandit=bandit, **settings)
+
+
+def throughput(query) -> dict:
+    """Points, seconds and points a second of a stream, from its progress."""
+    done = query.recentProgress
+    points = sum(p["numInputRows"] for p in done)
+    seconds = sum(p["durationMs"].get("triggerExecution", 0) for p in done) / 1000
+    return {"points": points, "seconds": seconds, "points_per_second": points / seconds if seconds else 0.0}
+
+
 def recode(codec: Codec, times: int = 1) -> Codec:
     """The codec after being halved some times."""
     for _ in range(times):
         codec = halved(codec)
     return codec
-
-
-def sink_path(base: str, name: str) -> str:
-    return os.path.join(base, name)
