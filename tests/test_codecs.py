@@ -100,3 +100,22 @@ def test_shift_invariance():
     marks = shape.Landmarks(np.stack([x, x[::-1], np.cos(np.arange(64))]))
     f = np.array([marks.features(r) for r in marks.rows])
     assert np.allclose(f @ f.T, [[shape.sink(a, b, 5.0) for b in marks.rows] for a in marks.rows], atol=1e-6)
+
+
+def test_skewed_segmentation_agrees(spark):
+    from tidegauge.operators.window import segmentize
+
+    points = spark.range(500).select(
+        F.col("id").alias("idx"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 10).cast("long").alias("signal_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").cast("double").alias("value"),
+    )
+    for tail in (False, True):
+        a, b = ({(r.signal_id, r.seg_id): r.data for r in segmentize(points, 7, flush_tail=tail, skewed=s).collect()} for s in (False, True))
+        assert a == b and a
+
+
+def test_positions_and_totals(spark):
+    from tidegauge.operators.ranges import numbered, running_total
+
+    df = spark.range(300).select(((F.col("id") * 37) % 300).alias("k"), F.lit(2).alias("v"))
+    assert all(r.k == r.at for r in numbered(df, ["k"], "at").collect())
+    assert all(r.before == 2 * (299 - r.k) for r in running_total(df, F.desc("k"), "v", "before").collect())

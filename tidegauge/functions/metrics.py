@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from ..operators.ranges import running_total
 
 
 def accuracy(truth: Column, pred: Column) -> Column:
@@ -68,20 +69,6 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     return s.select(((F.col("r") - p * (p + 1) / 2.0) / (p * n)).alias("auc"))
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """Exclusive running total in order, without a window over the whole table.
-
-    Rows are dealt by ranges of ``order``; totals of ranges are added up in a
-    table with a row for each range.
-    """
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    parts = parts.cache()
-    totals = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum(value).over(W.Window.partitionBy("_part").orderBy(order).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_in", inner).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_part")
-
-
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count("*").alias("n"))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
 from .linear import assembled
 
 IFOREST_ROWS = 50_000
@@ -130,8 +131,6 @@ def folds(df: DataFrame, key: str, k: int = 3, seed: int | None = None) -> DataF
     """A fold for each row: consecutive runs of the (seeded) order, the first n mod k
     one row longer.
     """
-    from ..sources.signals import numbered
-
     order = ["_o", key] if seed is not None else [key]
     rows = df.withColumn("_o", F.xxhash64(F.col(key), F.lit(seed))) if seed is not None else df
     n = df.count()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .ranges import numbered
+
 
 def smallest(df: DataFrame, k: int, by: str, tie: str) -> DataFrame:
     """The k smallest rows: each task keeps k, and only those meet."""
@@ -28,6 +30,5 @@ def dense_index(df: DataFrame, value: str, out: str = "index") -> DataFrame:
 
     Only distinct values are ranked; the ranks are joined back.
     """
-    distinct = df.select(value).distinct()
-    ranks = distinct.withColumn(out, F.dense_rank().over(W.Window.orderBy(value)) - 1)
-    return df.join(ranks, value)
+    ranks = numbered(df.select(value).distinct(), [value], out)
+    return df.join(ranks.withColumn(out, F.col(out).cast("int")), value)

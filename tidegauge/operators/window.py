@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.scalar import zigzag
+from .ranges import numbered_per
 
 
 def count_window_max(points: DataFrame, start: int, end: int, size: int, value: str = "value", idx: str = "idx") -> DataFrame:
@@ -58,18 +59,20 @@ def frame_of_reference(points: DataFrame, code: str, zero_based: bool = False) -
     return points.join(F.broadcast(base)).withColumn("offset", F.col(code) - F.col("base"))
 
 
-def segmentize(points: DataFrame, size: int, by: str = "signal_id", order: str = "idx", flush_tail: bool = False) -> DataFrame:
+def segmentize(points: DataFrame, size: int, by: str = "signal_id", order: str = "idx", flush_tail: bool = False, skewed: bool = False) -> DataFrame:
     """Segments of ``size`` consecutive points of a signal.
 
     A segment leaves when the next point arrives, so the last buffer, even a full
-    one, stays behind unless ``flush_tail``: floor((n - 1) / size) leave.
+    one, stays behind unless ``flush_tail``: floor((n - 1) / size) leave. With
+    ``skewed`` positions are taken by ranges of all points, so that a signal with
+    most of the points is no task's own.
     """
-    w = W.Window.partitionBy(by)
-    numbered = points.withColumn("_rn", F.row_number().over(w.orderBy(order)))
-    if not flush_tail:
-        numbered = numbered.withColumn("_n", F.count("*").over(w))
-    seg = F.floor((F.col("_rn") - 1) / size).cast("long")
-    rows = numbered.withColumn("seg_id", seg)
+    if skewed:
+        rows = numbered_per(points, by, order, "_rn", "_n")
+    else:
+        w = W.Window.partitionBy(by)
+        rows = points.withColumns({"_rn": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    rows = rows.withColumn("seg_id", F.floor(F.col("_rn") / size).cast("long"))
     if not flush_tail:
         rows = rows.filter(F.col("seg_id") < F.floor((F.col("_n") - 1) / size))
     cells = F.sort_array(F.collect_list(F.struct(order, "ts", "value")))

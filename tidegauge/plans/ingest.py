@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import range_filter
 from ..operators.window import segmentize
+from ..session import shared_dir
 from ..sources import signals
 from ..streaming import pipeline
 from ..streaming.segmenter import segments
@@ -17,9 +17,8 @@ from .registry import points, query, r6
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share, or one of this machine in local runs."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-    return f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share."""
+    return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
 @query("parquet_column", "SELECT count(*) AS n, round(sum(value), 6) AS sum, max(value) AS max FROM events WHERE value > 50")

@@ -347,6 +347,12 @@ def segmentize(spark, d):
     return s.select("signal_id", "seg_id", "ts", "size", r6(F.aggregate("data", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.element_at("data", 1).alias("first"))
 
 
+@query("segmentize_skewed", f"WITH {SEG} SELECT signal_id, seg_id, ts, CAST(size AS INTEGER) AS size, round(list_sum(data), 6) AS total FROM s")
+def segmentize_skewed(spark, d):
+    s = window.segmentize(points(spark, d), 10, skewed=True)
+    return s.select("signal_id", "seg_id", "ts", "size", r6(F.aggregate("data", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
 @query("segment_chain", f"WITH {SEG} SELECT signal_id, seg_id, ts, lag(seg_id) OVER w AS prev_seg, lag(ts) OVER w AS prev_ts FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY ts, seg_id)")
 def segment_chain(spark, d):
     return window.chain(window.segmentize(points(spark, d), 10)).select("signal_id", "seg_id", "ts", "prev_seg", "prev_ts")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -28,14 +28,39 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for this application.
+
+    It is ``spark.checkpoint.dir`` of the session, or the context's checkpoint
+    folder; where neither is set, the warehouse on a cluster, and a temporary
+    folder of this machine in local runs and tests.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = root or spark.conf.get("tidegauge.scratch", None)
+    if not root:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        local = spark.sparkContext.master.partition("[")[0] == "local"
+        own = "file://" + tempfile.mkdtemp(prefix="tidegauge-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        root = set_.get() if set_.isDefined() else own
+        spark.conf.set("tidegauge.scratch", root)
+    return f"{root.rstrip('/')}/tidegauge/{spark.sparkContext.applicationId}"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed."""
+    """Send this package to the executors, which need not have it installed.
+
+    The archive is written to the shared folder, through Spark's file systems.
+    """
     if spark.conf.get("tidegauge.shipped", None) == spark.sparkContext.applicationId:
         return
-    package = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="tidegauge-"), "tidegauge.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    package, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
+    path = f"{shared_dir(spark)}/tidegauge.zip"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
     spark.sparkContext.addPyFile(path)
     spark.conf.set("tidegauge.shipped", spark.sparkContext.applicationId)

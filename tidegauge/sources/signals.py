@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions.domain import signed_code, unsigned_code
+from ..operators.ranges import numbered  # noqa: F401  line and field order becomes a position
 
 
 def signal_csv(spark: SparkSession, path: str, skip: int = 0, delimiter: str = ",") -> DataFrame:
@@ -33,19 +33,6 @@ def _quoted(delimiter: str) -> str:
     return "\\Q" + delimiter + "\\E"
 
 
-def numbered(rows: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
-    """Dense zero-based positions in order, without a global window.
-
-    Rows are dealt by ranges; each range is numbered and offset by the sizes of
-    the ranges before it.
-    """
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).cache()
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_rn", rank).join(F.broadcast(before), "_part").withColumn(out, F.col("_rn") + F.col("_before")).drop("_rn", "_before", "_part")
-
-
 def unsigned_csv(spark: SparkSession, path: str, scale: float, skip: int = 0, delimiter: str = ",") -> DataFrame:
     return signal_csv(spark, path, skip, delimiter).withColumn("value", unsigned_code(F.col("value"), scale))
 

@@ -14,11 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..codecs import size
 from ..codecs.transforms import Codec, for_ratio, halved, reconstruct
 from ..operators.aggregate import relative_error
+from ..operators.ranges import running_total
 from .bandit import LOSSLESS_ARMS, LOSSY_ARMS, Bandit, band, reward
 
 
@@ -36,12 +36,14 @@ def compress(segments: DataFrame, method: str, scale: int) -> DataFrame:
 def over_budget(segments: DataFrame, budget: int, touched: str = "touched") -> DataFrame:
     """The least recently touched segments whose removal brings the rest into budget.
 
-    The running total is over one row for each segment, without its data.
+    The running total is over one row for each segment, without its data, and by
+    ranges of time.
     """
     keys = segments.select("signal_id", "seg_id", touched, "n_bytes")
-    newest = W.Window.orderBy(F.desc(touched), F.desc("signal_id"), F.desc("seg_id"))
-    kept = keys.withColumn("_total", F.sum("n_bytes").over(newest))
-    return segments.join(kept.filter(F.col("_total") > budget).select("signal_id", "seg_id"), ["signal_id", "seg_id"], "left_semi")
+    newest = [F.desc(touched), F.desc("signal_id"), F.desc("seg_id")]
+    kept = running_total(keys, newest, "n_bytes", "_newer")
+    over = kept.filter(F.col("_newer") + F.col("n_bytes") > budget)
+    return segments.join(over.select("signal_id", "seg_id"), ["signal_id", "seg_id"], "left_semi")
 
 
 def fill(segments: DataFrame, capacity: int, batch: int) -> DataFrame:
