@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import lsm_dedup, neardup, packing, secrets_scan, toxicity
-from tidegauge.llm._shared import maybe_broadcast, ship, stored, table
+from tidegauge.llm._shared import maybe_broadcast, stored, table
 
 # Ids of dropped rows that are broadcast at most; beyond, the tables are joined.
 BROADCAST_ROWS = 1_000_000
@@ -64,7 +64,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship
+
 # Rows of text are handed to numpy in slices of about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 # ASCII white space as the contracts define it: space and 9 to 13.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 # ------------------------------------------------------------------ folders
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir``; only where that is unset (local runs,
-    tests) a temporary folder of this machine is taken.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("tidegauge.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set("tidegauge.scratch", root)
-    return f"{root.rstrip('/')}/tidegauge/{spark.sparkContext.applicationId}"
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
@@ -55,19 +39,6 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which need not have it installed."""
-    if spark.conf.get("tidegauge.shipped", None) == spark.sparkContext.applicationId:
-        return
-    package = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="tidegauge-"), "tidegauge.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(path)
-    spark.conf.set("tidegauge.shipped", spark.sparkContext.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
