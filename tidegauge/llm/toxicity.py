@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence has a logistic score over hashed
-words; the document's is their noisy-or, ``1 - prod(1 - p)``, so that labels of
+words and word beginnings; the document's is their noisy-or, ``1 - prod(1 - p)``, so that labels of
 documents alone train the sentence scores, which then locate the sentences.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` rows
@@ -15,14 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, slices, span_hashes, stored, table, text_bytes, word_spans
+from ._shared import lower_ascii, mix64, slices, span_hashes, stored, table, text_bytes, word_spans
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 10_000
 SAMPLE_BYTES = 64 << 10
-FEATURES = 2048  # words with a weight of their own
+FEATURES = 2048  # words and prefixes with a weight of their own
+PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features too: stems under other endings
 ROUNDS = 300
 
 # letters of ASCII and every byte of other characters form words
@@ -34,39 +36,62 @@ STOPS[list(b".!?\n")] = True
 
 @dataclass
 class Bag:
-    """Words of a slice of rows: hash, sentence (numbered through) and row."""
+    """Words of a slice of rows, in order: sentence (numbered through), row, bytes."""
 
-    word: np.ndarray
+    low: np.ndarray
     sentence: np.ndarray
     row: np.ndarray
     start: np.ndarray
     end: np.ndarray
 
+    def features(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of words and of their first PREFIXES bytes, and whose word each is."""
+        hashes, owner = [span_hashes(self.low, self.start, self.end)], [np.arange(len(self.start))]
+        for n in PREFIXES:
+            at = np.flatnonzero(self.end - self.start > n)
+            with np.errstate(over="ignore"):
+                hashes.append(mix64(span_hashes(self.low, self.start[at], self.start[at] + n) + np.uint64(n)))
+            owner.append(at)
+        return np.concatenate(hashes), np.concatenate(owner)
 
-def bag(col: pa.Array) -> tuple[Bag, np.ndarray, np.ndarray]:
+    def heads(self) -> np.ndarray:
+        """First word of each sentence."""
+        return np.flatnonzero(np.r_[True, np.diff(self.sentence) != 0])[: len(self.sentence)]
+
+
+def bag(col: pa.Array) -> tuple[Bag, np.ndarray]:
+    """The words of a column, and the byte offsets of its rows."""
     data, offs = text_bytes(col)
     low = lower_ascii(data)
     starts, ends, row = word_spans(low, offs, NO_LETTER)
     # a sentence ends at a stop or with its row
-    before = np.r_[0, np.cumsum(STOPS[data])]
-    key = before[starts] + row
+    key = np.r_[0, np.cumsum(STOPS[data])][starts] + row
     sentence = np.cumsum(np.r_[0, np.diff(key) != 0]) if len(key) else key
-    return Bag(span_hashes(low, starts, ends), sentence, row, starts, ends), data, offs
+    return Bag(low, sentence, row, starts, ends), offs
 
 
 @dataclass
 class Model:
-    """Sorted word hashes with their weights, and the bias of a sentence."""
+    """Sorted feature hashes with their weights, and the bias of a sentence."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def of_word(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.weights[at], 0.0)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are features, and which ones they are."""
+        if not len(self.features):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
+        hit = np.flatnonzero(self.features[at] == h)
+        return hit, at[hit]
+
+    def hits(self, got: Bag) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, feature) pairs, once each."""
+        h, owner = got.features()
+        hit, what = self.find(h)
+        pairs = np.unique(got.sentence[owner[hit]] * max(1, len(self.features)) + what)
+        return pairs // max(1, len(self.features)), pairs % max(1, len(self.features))
 
 
 def noisy_or(z: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -74,46 +99,32 @@ def noisy_or(z: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(-np.bincount(row, np.logaddexp(0, z), rows))
 
 
-def fit(word: np.ndarray, sentence: np.ndarray, row: np.ndarray, label: np.ndarray) -> Model:
-    """Weights that make the noisy-or likely; Adam over the whole sample."""
+def fit(features: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], s_row: np.ndarray, bare: np.ndarray, label: np.ndarray) -> Model:
+    """Weights that make the noisy-or of each row likely; Adam over the whole sample.
+
+    ``pairs`` are (sentence, feature); ``s_row`` is the row of each sentence that has
+    a feature, ``bare`` the number of a row's sentences without any.
+    """
     n, y = len(label), label.astype(float)
-    if not n or y.min() == y.max() or not len(word):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if n and y.min() == 1 else -40.0)
-    # document counts of each word, by label
-    vocab, at = np.unique(word, return_inverse=True)
-    docs, _ = np.unique(at.astype(np.int64) * n + row, return_counts=True)
-    in_word, in_doc = docs // n, docs % n
-    df = np.bincount(in_word, minlength=len(vocab))
-    pos = np.bincount(in_word, y[in_doc], len(vocab))
-    rate = y.mean()
-    z = (pos - df * rate) / np.sqrt(df * rate * (1 - rate))
-    z[df < 3] = 0
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
-    chosen = chosen[df[chosen] >= 3]
-    if not len(chosen):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))) - 4)
-    slot = np.full(len(vocab), -1)
-    slot[chosen] = np.arange(len(chosen))
-    has = slot[at] >= 0
-    pairs = np.unique(sentence[has].astype(np.int64) * len(chosen) + slot[at][has])
-    s_of, f_of = pairs // len(chosen), pairs % len(chosen)
-    heads = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-    s_row = row[heads]
-    s_of = np.searchsorted(sentence[heads], s_of)
-    count = len(heads)
-    w, b = np.zeros(len(chosen)), -5.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    if not n or y.min() == y.max():
+        return Model(features[:0], np.zeros(0), 40.0 if n and y.min() == 1 else -40.0)
+    s_of, f_of = pairs
+    w, b = np.zeros(len(features)), -5.0
+    m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, ROUNDS + 1):
-        zs = b + np.bincount(s_of, w[f_of], count)
-        p = 1 / (1 + np.exp(-np.clip(zs, -40, 40)))
-        doc = np.clip(noisy_or(zs, s_row, n), 1e-9, 1 - 1e-9)
-        pull = np.where(y == 1, -(1 - doc) / doc, 1.0)[s_row] * p
-        g = np.r_[np.bincount(f_of, pull[s_of], len(chosen)) + 0.02 * w, pull.sum()]
+        z = b + np.bincount(s_of, w[f_of], len(s_row))
+        p, p0 = sigmoid(z), sigmoid(b)
+        clean = np.bincount(s_row, np.logaddexp(0, z), n) + bare * np.logaddexp(0, b)
+        doc = np.clip(-np.expm1(-clean), 1e-9, 1 - 1e-9)
+        pull = np.where(y == 1, -(1 - doc) / doc, 1.0)
+        each = pull[s_row] * p
+        g = np.r_[np.bincount(f_of, each[s_of], len(features)) + 0.02 * w, each.sum() + (pull * bare).sum() * p0]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], min(b - step[-1], -2.0)
     keep = np.abs(w) > 1e-3
-    return Model(vocab[chosen][keep], w[keep], float(b))
+    return Model(features[keep], w[keep], float(b))
 
 
 def remainder(doc_id: str = "doc_id"):
@@ -132,37 +143,58 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = known.filter(remainder() != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-sample")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = text.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), "doc_id")
+    chosen = stored(text.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), "doc_id"), "toxic-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            got, _, _ = bag(b.column("text"))
-            cut = np.searchsorted(got.row, np.arange(b.num_rows + 1)).astype(np.int32)
-            arrays = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (got.word.view(np.int64), got.sentence)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *arrays], names=["doc_id", "y", "word", "sentence"])
-
-    got = chosen.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, word array<long>, sentence array<long>").toArrow().combine_chunks()
+            got, _ = bag(b.column("text"))
+            h, owner = got.features()
+            y = b.column("y").to_numpy()
+            by = np.lexsort((got.row[owner], h))
+            h, row = h[by], got.row[owner][by]
+            once = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+            h, row = h[once], row[once]
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+            df = np.diff(np.r_[head, len(h)])
+            pos = np.add.reduceat(y[row], head) if len(h) else df
+            yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(df, pa.int64()), pa.array(pos, pa.int64())], names=["h", "df", "pos"])
+
+    total = chosen.agg(F.count("*"), F.avg("y")).first()
+    rate = total[1] or 0.0
+    if not total[0] or rate in (0.0, 1.0):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if rate == 1 else -40.0)
+    counts = chosen.select("text", "y").mapInArrow(count, "h long, df long, pos long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    strength = F.abs(F.col("pos") - F.col("df") * rate) / F.sqrt(F.col("df") * (rate * (1 - rate)))
+    top = counts.filter(F.col("df") >= 3).orderBy(strength.desc(), "h").limit(FEATURES).select("h").toArrow()
+    features = np.sort(top.column("h").to_numpy().astype(np.int64).view(np.uint64))
+    probe = Model(features, np.zeros(len(features)), 0.0)
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            got, _ = bag(b.column("text"))
+            heads = got.heads()
+            sentence, what = probe.hits(got)
+            cut = np.searchsorted(got.row[heads][sentence], np.arange(b.num_rows + 1)).astype(np.int32)
+            arrays = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int32))) for x in (sentence, what)]
+            n = np.bincount(got.row[heads], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(n, pa.int64()), *arrays], names=["doc_id", "y", "n", "sentence", "feature"])
+
+    got = chosen.select("doc_id", "y", "text").mapInArrow(sparse, "doc_id long, y int, n long, sentence array<int>, feature array<int>").toArrow().combine_chunks()
     got = got.sort_by("doc_id")
-    words, sentences = (got.column(c).combine_chunks() for c in ("word", "sentence"))
-    size = np.array([len(x) if x is not None else 0 for x in words], np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    flat = words.flatten().to_numpy().view(np.uint64)
-    inner = sentences.flatten().to_numpy()
-    sentence = np.cumsum(np.r_[0, (np.diff(inner) != 0) | (np.diff(row) != 0)]) if len(inner) else inner
-    return fit(flat, sentence, row, got.column("y").to_numpy())
+    inner, what = (got.column(c).combine_chunks() for c in ("sentence", "feature"))
+    row = np.repeat(np.arange(got.num_rows), pc.list_value_length(inner).to_numpy())
+    inner, what = inner.flatten().to_numpy().astype(np.int64), what.flatten().to_numpy().astype(np.int64)
+    fresh = np.r_[True, (np.diff(inner) != 0) | (np.diff(row) != 0)][: len(inner)]
+    s_row = row[fresh]
+    bare = got.column("n").to_numpy() - np.bincount(s_row, minlength=got.num_rows)
+    return fit(features, (np.cumsum(fresh) - 1, what), s_row, bare, got.column("y").to_numpy())
 
 
 def sentence_scores(got: Bag, model: Model, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logits of sentences, their first words, and the noisy-or of each row."""
-    if not len(got.word):
-        return np.zeros(0), np.zeros(0, np.int64), np.zeros(rows)
-    weight = model.of_word(got.word)
-    hits = np.flatnonzero(weight)
-    # a word counts once in a sentence, as in training
-    order = hits[np.lexsort((got.word[hits], got.sentence[hits]))]
-    once = order[np.r_[True, (np.diff(got.sentence[order]) != 0) | (got.word[order][1:] != got.word[order][:-1])]] if len(order) else order
-    z = model.bias + np.bincount(got.sentence[once], weight[once], int(got.sentence[-1]) + 1)
-    heads = np.flatnonzero(np.r_[True, np.diff(got.sentence) != 0])
+    heads = got.heads()
+    sentence, what = model.hits(got)
+    z = model.bias + np.bincount(sentence, model.weights[what], len(heads))
     return z, heads, noisy_or(z, got.row[heads], rows)
 
 
@@ -179,7 +211,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            got, _, offs = bag(b.column("text"))
+            got, offs = bag(b.column("text"))
             z, heads, total = sentence_scores(got, shared.value, b.num_rows)
             tails = np.r_[heads[1:], len(got.sentence)] - 1
             row = got.row[heads]
@@ -202,7 +234,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            got, _, _ = bag(b.column("text"))
+            got, _ = bag(b.column("text"))
             total = sentence_scores(got, shared.value, b.num_rows)[2]
             yield b.filter(pa.array(total < 0.5))
 
@@ -212,4 +244,5 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted", "offending")
+    held_out = F.coalesce(remainder() == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
