@@ -2,11 +2,13 @@
 
 Each task is a writer: rows enter a memtable keyed by the SHA-256 of the text
 without white space; a full memtable is flushed as a run sorted by digest, with
-a Bloom filter over its digests. Runs carry, per digest, the best row, the
-number of rows, their ids and one zstd copy of the text. Runs are merged by
-one shuffle on the digest; the merge streams through sorted entries, compares
-the bytes of every hit with the texts met under that digest (so equal digests
-of different texts stay apart), and keeps the best identifier.
+a Bloom filter over its digests; a few runs are compacted into one, where the
+filters tell which digests need a look at other runs. Runs carry, per digest,
+the best row, the number of rows, their ids and one zstd copy of the text.
+Compacted runs of all tasks are merged by one shuffle on the digest; the merge
+streams through sorted entries. Every hit, in a memtable, in compaction and in
+the merge, is verified by the bytes of the texts (so equal digests of different
+texts stay apart); the best identifier is kept.
 
 A digest that a third of all rows share has one entry per run, not per row,
 so no task meets it as a hot key, and the ids stay in their run's entry until
@@ -16,7 +18,9 @@ the final explode.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ._shared import SPACE_BYTES, slices, stored, table
 
-RUN_SCHEMA = "digest binary, run long, seq int, chars long, id long, n long, ids array<long>, body binary, fresh boolean"
+RUN_SCHEMA = "digest binary, chars long, id long, n long, ids array<long>, body binary"
+FAN_IN = 4  # runs that a writer compacts into one
 MERGED_SCHEMA = "digest binary, variant int, chars long, id long, n long, ids array<long>"
 
 
@@ -51,58 +56,116 @@ class Bloom:
         return ((self.map[at >> 3] >> (at & 7)) & 1).all(axis=1)
 
 
+@dataclass
+class Entry:
+    """One text of a run: its best row, its ids, and a zstd copy."""
+
+    body: bytes
+    chars: int
+    id: int | None
+    ids: list
+
+    def rank(self) -> tuple:
+        return -self.chars, self.id is None, self.id or 0
+
+    def absorb(self, other: Entry) -> None:
+        """Keep the better identifier and all ids of an equal text."""
+        if other.rank() < self.rank():
+            self.chars, self.id = other.chars, other.id
+        self.ids += other.ids
+
+
+class Run:
+    """Entries in digest order, found by binary search behind a filter."""
+
+    def __init__(self, keys: list[bytes], entries: list[list[Entry]]):
+        self.keys, self.entries = keys, entries
+        self.filter = Bloom(len(keys))
+        if keys:
+            self.filter.add(keys)
+
+    def get(self, digest: bytes) -> list[Entry]:
+        at = bisect_left(self.keys, digest)
+        return self.entries[at] if at < len(self.keys) and self.keys[at] == digest else []
+
+
 class Writer:
-    """A memtable of bounded bytes and the filters of the runs it flushed."""
+    """A memtable of bounded bytes, and the runs that were flushed from it.
 
-    def __init__(self, part: int, memtable_bytes: int):
-        self.part, self.limit, self.runs = part, memtable_bytes, 0
-        self.table: dict[bytes, list] = {}
-        self.size, self.filters = 0, []
-        self.pack = zstandard.ZstdCompressor(level=1)
+    After FAN_IN flushes the runs are compacted into one: digests that no other
+    run's filter may hold pass straight on, the others are looked up, and hits
+    are merged only where the bytes of the texts agree. The compacted run is
+    emitted, so a writer holds no more than FAN_IN runs.
+    """
 
-    def put(self, digest: bytes, body: bytes, chars: int, doc: int) -> None:
-        entries = self.table.setdefault(digest, [])
-        for e in entries:
-            if e[0] == body:
-                e[3].append(doc)
-                if (-chars, doc) < (-e[1], e[2]):
-                    e[1], e[2] = chars, doc
+    def __init__(self, memtable_bytes: int):
+        self.limit, self.size = memtable_bytes, 0
+        self.table: dict[bytes, list[Entry]] = {}
+        self.runs: list[Run] = []
+        self.pack = zstandard.ZstdCompressor(level=1)
+        self.unpack = zstandard.ZstdDecompressor()
+
+    def put(self, digest: bytes, body: bytes, chars: int, doc: int | None) -> None:
+        new = Entry(body, chars, doc, [doc])
+        same = self.table.setdefault(digest, [])
+        for e in same:
+            if e.body == body:
+                e.absorb(new)
                 self.size += 40
                 return
-        entries.append([body, chars, doc, [doc]])
+        same.append(new)
         self.size += len(body) + 300
 
     def full(self) -> bool:
         return self.size >= self.limit
 
-    def flush(self) -> pa.RecordBatch | None:
-        """The memtable as a run in digest order.
-
-        ``fresh`` tells that no earlier run of this writer can hold the digest.
-        """
-        if not self.table:
-            return None
+    def flush(self) -> None:
+        """The memtable becomes a run in digest order; bodies are packed."""
         keys = sorted(self.table)
-        fresh = np.ones(len(keys), bool)
-        for f in self.filters:
-            fresh &= ~f.may_hold(keys)
-        mine = Bloom(len(keys))
-        mine.add(keys)
-        self.filters.append(mine)
-        run = (self.part << 20) + self.runs
-        rows = [(k, run, i, c, d, len(ids), ids, self.pack.compress(body), bool(ok)) for k, ok in zip(keys, fresh, strict=True) for i, (body, c, d, ids) in enumerate(self.table[k])]
-        self.runs, self.table, self.size = self.runs + 1, {}, 0
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
-        names = ["digest", "run", "seq", "chars", "id", "n", "ids", "body", "fresh"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        for k in keys:
+            for e in self.table[k]:
+                e.body = self.pack.compress(e.body)
+        if keys:
+            self.runs.append(Run(keys, [self.table[k] for k in keys]))
+        self.table, self.size = {}, 0
+
+    def same(self, a: Entry, b: Entry) -> bool:
+        return a.body == b.body or self.unpack.decompress(a.body) == self.unpack.decompress(b.body)
+
+    def compact(self) -> pa.RecordBatch | None:
+        """All runs as one, in digest order."""
+        if not self.runs:
+            return None
+        out: list[tuple[bytes, list[Entry]]] = []
+        for i, run in enumerate(self.runs):
+            earlier = np.zeros(len(run.keys), bool)
+            later = np.zeros(len(run.keys), bool)
+            for j, other in enumerate(self.runs):
+                if j != i:
+                    (earlier if j < i else later)[other.filter.may_hold(run.keys)] = True
+            for at, (k, entries) in enumerate(zip(run.keys, run.entries, strict=True)):
+                if earlier[at] and any(r.get(k) for r in self.runs[:i]):
+                    continue  # an earlier run took it along
+                if later[at]:
+                    for r in self.runs[i + 1 :]:
+                        for e in r.get(k):
+                            hit = next((x for x in entries if self.same(x, e)), None)
+                            if hit is None:
+                                entries.append(e)
+                            else:
+                                hit.absorb(e)
+                out.append((k, entries))
+        self.runs = []
+        out.sort(key=lambda x: x[0])
+        rows = [(k, e.chars, e.id, len(e.ids), e.ids, e.body) for k, entries in out for e in entries]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        names = ["digest", "chars", "id", "n", "ids", "body"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def index_runs(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        out = Writer(TaskContext.get().partitionId(), memtable_bytes)
+        out = Writer(memtable_bytes)
         for b in slices(batches, "text"):
             col = b.column("text").fill_null("")
             chars = pc.utf8_length(col).to_pylist()
@@ -110,8 +173,11 @@ def index_runs(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataF
                 body = body.translate(None, SPACE_BYTES)
                 out.put(hashlib.sha256(body).digest()[:digest_bytes], body, n, doc)
                 if out.full():
-                    yield out.flush()
-        if (last := out.flush()) is not None:
+                    out.flush()
+                    if len(out.runs) == FAN_IN:
+                        yield out.compact()
+        out.flush()
+        if (last := out.compact()) is not None:
             yield last
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, RUN_SCHEMA)
@@ -147,11 +213,11 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                 variants.append(len(packed) - 1)
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(variants, pa.int32()), *(b.column(c) for c in ("chars", "id", "n", "ids"))], names=["digest", "variant", "chars", "id", "n", "ids"])
 
-    sorted_runs = runs.drop("fresh").repartition("digest").sortWithinPartitions("digest", "run", "seq")
+    sorted_runs = runs.repartition("digest").sortWithinPartitions("digest")
     return sorted_runs.mapInArrow(merge, MERGED_SCHEMA)
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 48 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 12 << 20) -> DataFrame:
     """Groups of equal texts, and which row of each stays.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored, whatever
