@@ -1,6 +1,6 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
-Documents are tokenised, cut into full windows and a remainder; the remainders
+Documents are tokenised and cut into full windows and smaller pieces; the pieces
 of a block are split into near-equal windows by the largest differencing method
 on k-way partial partitions. Where the fullest window exceeds the capacity the
 window count rises and the block is solved again.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import slices, table, texts
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
-BLOCK = 2048  # remainders solved together; bounds memory and time of one solve
+BLOCK = 4096  # pieces solved together; bounds memory and time of one solve
 _CODECS: dict[str, ByteBPE] = {}
 
 
@@ -118,16 +118,17 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
         top = int(np.bincount(out, sizes, k).max())
         if top <= capacity or k >= len(sizes):
             return out if top <= capacity else np.arange(len(sizes))
-        k += max(1, k // 64)
+        k += max(1, k // 256)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, block: int = BLOCK) -> DataFrame:
     """Pieces of documents and the sequences that hold them.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Null and
-    empty texts have the end id alone. Full windows stand alone; remainders of
-    ``block`` documents of a task are packed together, so nothing is shuffled,
-    and no task holds more than a block. Sequence numbers carry the task's
+    empty texts have the end id alone. Full windows stand alone; what remains is
+    cut at half a window, so that pieces pair up, and ``block`` such pieces of a
+    task are packed together: nothing is shuffled, and no task holds more than a
+    block. Sequence numbers carry the task's
     number in their upper bits. ``padded_length`` is the sequence's stored
     length: its own where that is a power of two, else the capacity. Repeated
     rows are packed each. An empty table gives no pieces.
@@ -136,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        cut = max(1, capacity // 2)
         enc, base = codec(tokenizer), TaskContext.get().partitionId() << 40
         pending: list[tuple] = []
         rows: list[tuple] = []
@@ -168,8 +170,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
                 for s in range(0, n - capacity + 1, capacity):
                     rows.append((doc, s, capacity, zlib.crc32(raw[4 * s : 4 * (s + capacity)]), n, base + made, 0, capacity))
                     made += 1
-                if rest := n % capacity:
-                    pending.append((doc, n - rest, rest, zlib.crc32(raw[4 * (n - rest) :]), n))
+                for s in range(n - n % capacity, n, cut):
+                    e = min(n, s + cut)
+                    pending.append((doc, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), n))
                 if len(pending) >= block:
                     settle()
             if len(rows) >= 4096:
