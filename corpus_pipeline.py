@@ -18,7 +18,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _without(docs: DataFrame, marked: DataFrame, tag: str) -> DataFrame:
-    """``docs`` without the rows whose ids are marked as not kept."""
+    """``docs`` without the rows whose ids are marked as not kept.
+
+    Rows without an id cannot be named, so they stay.
+    """
     dropped = stored(marked.filter("NOT kept").select("doc_id"), tag)
     return docs.join(maybe_broadcast(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
 

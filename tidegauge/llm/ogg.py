@@ -225,7 +225,12 @@ def media_packets(media: DataFrame) -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Read stored media back: payload and media digests, and features."""
+    """Read stored media back: payload and media digests, and features.
+
+    ``media`` needs ``doc_id``, ``n_bytes`` and ``media``. Null or damaged media
+    gives what could be read, which may be the empty payload; ``bad_pages`` counts
+    pages that failed their checksum.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bad_pages"]

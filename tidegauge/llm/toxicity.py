@@ -229,7 +229,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``docs`` that the model does not call toxic, with all columns."""
+    """Rows of ``docs`` that the model does not call toxic, with all columns.
+
+    Null and empty texts score 0 and stay; repeated rows are judged alike; an
+    empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -206,7 +206,11 @@ RECORDS = "archive string, start long, end long, record_type string, page_id lon
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """Valid records of every archive; payloads of responses where asked for."""
+    """Valid records of every archive; payloads of responses where asked for.
+
+    Null and empty archives have none; a response whose payload does not match
+    its digest is left out. Gaps are in ``archive_gaps``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
