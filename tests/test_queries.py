@@ -49,7 +49,7 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() > 0
     assert os.path.isdir(entry.DATA)
 
 
