@@ -212,6 +212,28 @@ def test_fuzzy_passage(spark):
     assert all({x.doc_id, x.other_id} <= {4, 9, 14} and x.n_words >= 90 for x in got)
 
 
+@pytest.mark.parametrize("between", [60, 100, 150])
+def test_chain_breaks_at_a_bad_gap(spark, between):
+    """Exact header and footer around other words, and words put into a passage."""
+    head, foot = [f"h{i}" for i in range(100)], [f"f{i}" for i in range(100)]
+    other = lambda c: [f"{c}{i}" for i in range(between)]
+    rows = [(1, head + other("x") + foot), (2, head + other("y") + foot)]
+    rows += [(3, [w.upper() + "q" for w in head + foot]), (4, [w + "q" for w in head] + other("z") + [w + "q" for w in foot])]
+    got = substring.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    text = {d: " ".join(w) for d, w in rows}
+    assert sorted((r.doc_id, r.other_id, r.n_words, r.matched) for r in got) == [(2, 1, 100, 100)] * 2 + [(4, 3, 100, 100)] * 2
+    assert all(text[r.doc_id][r.start : r.end] == text[r.other_id][r.other_start : r.other_end].lower() for r in got)
+
+
+def test_long_gaps_are_aligned():
+    """A gap of 90 words, every fifth of which differs, is not all mismatch."""
+    a = np.arange(1000, 1290, dtype=np.uint64)
+    b = a.copy()
+    b[100:190:5] = 7
+    frag = [(0, 0, 100), (190, 190, 100)]
+    assert substring.align(a, b, frag, 50, 0.8) == [(0, 290, 0, 290, 272, 290)]
+
+
 def test_substring_empty(empty):
     assert substring.repeated_passages(empty).count() == 0
 
