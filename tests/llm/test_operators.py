@@ -492,6 +492,12 @@ def test_warc_salvage(compress):
     assert all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
 
 
+def test_warc_header_beyond_a_mebibyte():
+    data = warc.write_record(1, "http://a/", b"x", None) + warc.write_record(2, "http://b/" + "u" * (1 << 21), b"y", None) + warc.write_record(3, "http://c/", b"z", None)
+    records, gaps = warc.salvage(data)
+    assert [r.headers["x-page-id"] for r in records] == ["1", "2", "3"] and not gaps
+
+
 # ---------------------------------------------------------------- packing
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.integers(1, 100), max_size=80))

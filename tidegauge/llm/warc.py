@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ._shared import maybe_broadcast, slices, stored, table
 
 ARCHIVE_BYTES = 8 << 20  # an archive is closed when it has grown beyond this
+HEAD_BYTES = 1 << 20  # of a plain record, while the reader looks for the next valid one
 BROADCAST_ROWS = 200_000  # groups of equal payloads that are broadcast at most
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -89,11 +90,14 @@ class Record:
         return len(self.payload)
 
 
-def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the plain record at ``at``, if it passes all checks."""
+def parse_record(raw: bytes, at: int, head: int | None = None) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers, block and end of the plain record at ``at``, if it passes all checks.
+
+    Its header may have any length, or ``head`` bytes at most.
+    """
     if not raw.startswith(VERSION, at):
         return None
-    split = raw.find(b"\r\n\r\n", at, at + (1 << 20))
+    split = raw.find(b"\r\n\r\n", at, len(raw) if head is None else at + head)
     if split < 0:
         return None
     headers = {}
@@ -115,8 +119,8 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | Non
     return headers, block, end + 4
 
 
-def read_at(data: bytes, at: int) -> Record | None:
-    """The record that begins at ``at``: a gzip member or plain."""
+def read_at(data: bytes, at: int, head: int | None = None) -> Record | None:
+    """The record that begins at ``at``: a gzip member, or plain with a header of up to ``head`` bytes."""
     if data.startswith(MEMBER, at):
         z = zlib.decompressobj(31)
         try:
@@ -126,7 +130,7 @@ def read_at(data: bytes, at: int) -> Record | None:
         if not z.eof or (found := parse_record(raw, 0)) is None or found[2] != len(raw):
             return None
         return Record(found[0], found[1], at, len(data) - len(z.unused_data))
-    if (found := parse_record(data, at)) is None:
+    if (found := parse_record(data, at, head)) is None:
         return None
     return Record(found[0], found[1], at, found[2])
 
@@ -137,7 +141,7 @@ def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
     gaps: list[tuple[int, int, str]] = []
     at, bad = 0, -1
     while at < len(data):
-        found = read_at(data, at)
+        found = read_at(data, at, HEAD_BYTES if bad >= 0 else None)
         if found:
             if bad >= 0:
                 gaps.append((bad, at, _reason(data, bad)))
