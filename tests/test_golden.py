@@ -155,6 +155,26 @@ def test_models(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: -1}
 
 
+def test_dbscan_beyond_a_driver_fit(spark, monkeypatch):
+    """No row bound; a chain is one cluster, a border row takes the first cluster near it."""
+    monkeypatch.setattr(cluster, "DBSCAN_ROWS", 10, raising=False)
+    points = [[100 + 0.2 * i, 0] for i in range(40)] + [[0, 0], [0, 0.3], [0.3, 0], [0.7, 0], [1.1, 0], [1.4, 0], [1.1, 0.3], [50, 50]]
+    got = {r.id: r.cluster for r in cluster.dbscan(vectors(spark, points), "id", "vector", 0.45, 4).collect()}
+    x = np.array(points)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.45
+    core, want, n = near.sum(axis=1) >= 4, np.full(len(x), -1), 0
+    for i in np.flatnonzero(core):
+        if want[i] < 0:
+            stack, want[i] = [i], n
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & (want < 0)):
+                    want[j] = n
+                    if core[j]:
+                        stack.append(j)
+            n += 1
+    assert [got[i] for i in sorted(got)] == want.tolist()
+
+
 def test_votes(spark):
     near = spark.createDataFrame([(1, 10, 0.5, 1), (1, 11, 0.6, 2), (1, 12, 0.7, 3), (1, 13, 0.8, 4)], "query_id long, train_id long, distance double, rank int")
     labels = spark.createDataFrame([(10, 7), (11, 8), (12, 8), (13, 7)], "train_id long, label int")

@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.scalar import squared_distance
-from ..operators.similarity import distances, within
+from ..operators.similarity import within
+from ..operators.topk import dense_index
+from ..session import shared_dir
+
 
-DBSCAN_ROWS = 20_000  # rows that a DBSCAN fit takes at most
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/dbscan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that links lead to.
+
+    ``edges`` (a, b) has both directions, ``nodes`` (node) every node. A round
+    hooks each root below the smallest root next to its tree, and halves paths
+    until trees are flat.
+    """
+    tree = _kept(nodes.select("node", F.col("node").alias("root")))
+    while True:
+        at = edges.join(tree.toDF("a", "ra"), "a").join(tree.toDF("b", "rb"), "b").filter("rb < ra")
+        hooks = _kept(at.groupBy("ra").agg(F.min("rb").alias("up")))
+        if hooks.isEmpty():
+            return tree
+        moved = True
+        while moved:  # pointers double their reach
+            above = hooks.toDF("up", "above")
+            step = _kept(hooks.join(above, "up", "left").select("ra", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
+            moved, hooks = not step.filter("moved").isEmpty(), step.select("ra", "up")
+        tree = _kept(tree.join(hooks.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+
 def kmeans(df: DataFrame, vector: str, k: int = 2, max_iter: int = 100, seed: int = 0) -> np.ndarray:
     """Centroids by Spark's k-means; k below 2 is an error."""
     if k < 2:
@@ -32,26 +61,21 @@ def assign(df: DataFrame, vector: str, centroids: np.ndarray, out: str = "cluste
 
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """(key, cluster) with -1 for noise; fits at most ``DBSCAN_ROWS`` rows on the driver."""
-    rows = df.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).limit(DBSCAN_ROWS + 1).collect()
-    if len(rows) > DBSCAN_ROWS:
-        raise ValueError(f"DBSCAN fits at most {DBSCAN_ROWS} rows; sample, then use dbscan_predict")
-    x = np.array([r["v"] for r in rows])
-    near = [np.flatnonzero(np.sqrt(distances(x[i : i + 1], x)[0]) <= eps) for i in range(len(x))]
-    core = np.array([len(n) >= min_samples for n in near])
-    label, cluster = np.full(len(x), -1), 0
-    for i in np.flatnonzero(core):
-        if label[i] >= 0:
-            continue
-        label[i], stack = cluster, [i]
-        while stack:
-            for j in near[stack.pop()]:
-                if label[j] < 0:
-                    label[j] = cluster
-                    if core[j]:
-                        stack.append(j)
-        cluster += 1
-    return df.sparkSession.createDataFrame([(int(r[key]), int(c)) for r, c in zip(rows, label, strict=True)], f"{key} long, cluster int")
+    """(key, cluster) with -1 for noise, over all rows.
+
+    Neighbour counts of a radius join give the cores; clusters are the components
+    of links between cores, numbered by their smallest key. Another row belongs to
+    the first cluster that has a core near it.
+    """
+    near = _kept(within(df, df, eps, key, vector).select(F.col("query_id").alias("a"), F.col("train_id").alias("b")))
+    cores = _kept(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("node")))
+    to_core = near.join(cores.toDF("b"), "b", "left_semi")
+    roots = linked(_kept(to_core.join(cores.toDF("a"), "a", "left_semi").filter("a <> b")), cores)
+    numbers = dense_index(roots, "root", "cluster").select(F.col("node").alias("b"), "cluster")
+    best = to_core.join(numbers, "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
+    # a core's own number is that of all cores near it
+    out = df.select(F.col(key).cast("long").alias("a")).join(best, "a", "left")
+    return out.select(F.col("a").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def dbscan_predict(queries: DataFrame, train: DataFrame, fitted: DataFrame, eps: float, key: str, vector: str) -> DataFrame:
