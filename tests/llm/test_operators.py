@@ -419,6 +419,23 @@ def test_noisy_or():
     assert np.allclose(toxicity.noisy_or(z, row, 3), [1 - (1 - p[0]) * (1 - p[1]), 0, 1 - (1 - p[2]) * (1 - p[3])])
 
 
+LONG_TEXT = 5_000_000
+
+
+def test_long_clean_texts_stay(spark):
+    """Length is no evidence; one offending sentence is, at any length."""
+    r = np.random.default_rng(6)
+    plain = lambda n: ". ".join(" ".join(WORDS[i] for i in r.integers(0, 400, 8)) for _ in range(n))
+    rows = [(i, plain(30) + (". you moron w5 w6. " + plain(5) if i % 6 == 0 else "")) for i in range(400)] + [(400, plain(4000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, int(i % 6 == 0 and i < 400)) for i, _ in rows], "doc_id long, toxic int"))
+    clean = plain(LONG_TEXT // 38)
+    assert len(clean) > 4_000_000
+    long = spark.createDataFrame([(1, clean), (2, clean + ". you moron w5 w6."), (3, "w1 w2. you moron w5 w6")], "doc_id long, text string")
+    assert {x.doc_id: x.predicted for x in toxicity.score(long, model).collect()} == {1: 0, 2: 1, 3: 1}
+    assert [x.doc_id for x in toxicity.keep_clean(long, model).collect()] == [1]
+
+
 # ------------------------------------------------------------------- urls
 def plain_url(url):
     if url is None or "://" not in url:

@@ -2,10 +2,13 @@
 
 A document is a bag of sentences. A sentence has a logistic score over hashed
 words and word beginnings; the document's is their noisy-or, ``1 - prod(1 - p)``, so that labels of
-documents alone train the sentence scores, which then locate the sentences.
+documents alone train the sentence scores, which then locate the sentences. In
+scoring, what clean sentences are expected to add is taken off, so that length
+alone is no evidence.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` rows
-of at most ``SAMPLE_BYTES`` bytes each); scoring covers every whole text.
+The model is fitted on a bounded sample of labelled rows of any length
+(``SAMPLE_ROWS`` rows, and none after ``SAMPLE_BYTES`` bytes of text); scoring
+covers every whole text.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 from ._shared import lower_ascii, mix64, slices, span_hashes, stored, table, text_bytes, word_spans
 
 SAMPLE_ROWS = 10_000
-SAMPLE_BYTES = 64 << 10
+SAMPLE_BYTES = 64 << 20  # the row that passes it is the last one
 FEATURES = 2048  # words and prefixes with a weight of their own
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are features too: stems under other endings
 ROUNDS = 300
+SAFETY = 4.0  # clean sentences of other texts add more than those of the sample
 
 # letters of ASCII and every byte of other characters form words
 NO_LETTER = np.ones(256, bool)
@@ -72,11 +76,14 @@ def bag(col: pa.Array) -> tuple[Bag, np.ndarray]:
 
 @dataclass
 class Model:
-    """Sorted feature hashes with their weights, and the bias of a sentence."""
+    """Sorted feature hashes with their weights, the bias of a sentence, and what
+    a sentence that is not offending may add to -log(1 - score) by chance.
+    """
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    background: float = 0.0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are features, and which ones they are."""
@@ -99,6 +106,15 @@ def noisy_or(z: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return -np.expm1(-np.bincount(row, np.logaddexp(0, z), rows))
 
 
+def document_scores(z: np.ndarray, row: np.ndarray, rows: int, background: float) -> np.ndarray:
+    """Noisy-or by row of the sentences with p >= 0.5, whatever the text's length,
+    and of the others together as far as they exceed the background.
+    """
+    e = np.logaddexp(0, z)
+    weak = np.bincount(row, np.where(z < 0, e - background, 0), rows)
+    return -np.expm1(-np.bincount(row, np.where(z < 0, 0, e), rows) - np.maximum(weak, 0))
+
+
 def fit(features: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], s_row: np.ndarray, bare: np.ndarray, label: np.ndarray) -> Model:
     """Weights that make the noisy-or of each row likely; Adam over the whole sample.
 
@@ -124,7 +140,11 @@ def fit(features: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], s_row: np.nd
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], min(b - step[-1], -2.0)
     keep = np.abs(w) > 1e-3
-    return Model(features[keep], w[keep], float(b))
+    z = b + np.bincount(s_of, np.where(keep, w, 0)[f_of], len(s_row))
+    weak = (y[s_row] == 0) & (z < 0)
+    plain = bare[y == 0].sum()  # the bias is below 0
+    background = (np.logaddexp(0, z[weak]).sum() + plain * np.logaddexp(0, b)) / max(1, weak.sum() + plain)
+    return Model(features[keep], w[keep], float(b), float(SAFETY * background))
 
 
 def remainder(doc_id: str = "doc_id"):
@@ -133,7 +153,7 @@ def remainder(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows outside the held-out fifth.
+    """Fit on at most ``rows`` labelled rows outside the held-out fifth, of any length.
 
     Labels without an id or a value are no labels; an id with several counts as
     toxic if one of them says so. The sample is by hash of the id, so it does not
@@ -143,7 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = known.filter(remainder() != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-sample")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = stored(text.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), "doc_id"), "toxic-texts")
+    found = stored(text.join(F.broadcast(sample), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "toxic-texts")
+    # by the same hash order, up to the row with which the text passes its bound
+    sizes = found.groupBy("doc_id").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    total = np.cumsum(sizes.column("size").to_numpy())
+    most = int(np.searchsorted(total, SAMPLE_BYTES)) + 1
+    chosen = found.drop("size")
+    if most < len(total):
+        ids = found.sparkSession.createDataFrame([(int(x),) for x in sizes.column("doc_id").to_numpy()[:most]], "doc_id long")
+        chosen = chosen.join(F.broadcast(ids), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -191,11 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def sentence_scores(got: Bag, model: Model, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of sentences, their first words, and the noisy-or of each row."""
+    """Logits of sentences, their first words, and the score of each row."""
     heads = got.heads()
     sentence, what = model.hits(got)
     z = model.bias + np.bincount(sentence, model.weights[what], len(heads))
-    return z, heads, noisy_or(z, got.row[heads], rows)
+    return z, heads, document_scores(z, got.row[heads], rows, model.background)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
