@@ -475,6 +475,28 @@ def test_url_model_separates(spark):
     assert np.mean([got[len(rows) + i] == v for i, (_, v) in enumerate(test)]) > 0.9
 
 
+def test_url_counts_are_exact(spark):
+    """More n-grams than any fixed table has: none shares a counter."""
+    r = np.random.default_rng(9)
+    urls = [bytes(x).decode() for x in r.integers(97, 123, (3000, 40), dtype=np.uint8)]
+    rows = [(u, i % 2, i // 2 % 2) for i, u in enumerate(urls)]
+    want = Counter()
+    for u, label, fold in rows:
+        text = bytes([url_lm.START]) * url_lm.ORDER + u.encode() + bytes([url_lm.END])
+        for at in range(url_lm.ORDER, len(text)):
+            for n in range(url_lm.ORDER + 1):
+                want[n, text[at - n : at + 1], fold, label] += 1
+    keys, counts = url_lm.count_grams(spark.createDataFrame(rows, "url string, label int, fold int"))
+    assert len(keys) == len({k[:2] for k in want}) > 1 << 17
+    got = {}
+    for i, k in enumerate(keys.tolist()):
+        n = k >> 40
+        for f, y in ((f, y) for f in (0, 1) for y in (0, 1)):
+            if counts[f, y, i]:
+                got[n, (k & (1 << 40) - 1).to_bytes(5, "big")[4 - n :], f, y] = int(counts[f, y, i])
+    assert got == dict(want)
+
+
 # ------------------------------------------------------------------- warc
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/\r\nx", "same"), (1, "u", "same"), (2, None, None), (5, "", ""), (1, "u", "same"), (None, "n", "same"), (8, "z", "ß" * 9000), (9, "q", "same")]

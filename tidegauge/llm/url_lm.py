@@ -4,9 +4,9 @@ Two variable-order Markov models over bytes, of URLs that rules allow and that
 rules block, give each other URL a log-likelihood difference per character. Its
 threshold is calibrated on rows that the models did not count.
 
-Counts cover all rows that a rule judges. They live in hashed tables of fixed
-size, so that what is sent to the driver and to the tasks has a proven bound:
-labels x folds x orders x SLOTS numbers.
+Counts cover all rows that a rule judges. They are exact: each n-gram is its own
+key, so no two share a counter, and what is sent to the driver and to the tasks
+is one row for each distinct n-gram.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import blobs, mix64, slices, table
+from ._shared import blobs, slices, table
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 4  # characters of context at most
-SLOTS = 1 << 15  # counters of one n-gram length
 WEIGHT = 4.0  # pseudo-counts that a shorter context gets
 BINS = 2001  # of the calibration histogram over [-LIMIT, LIMIT]
 LIMIT = 8.0
@@ -49,103 +48,91 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def ngram_slots(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the n-grams that end at each character: (length n + 1) x positions,
-    row 0 for the empty context; and the number of the URL at each position.
+def ngram_keys(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams that end at each character: context length x positions;
+    and the number of the URL at each position.
+
+    A key holds the bytes themselves, the last one lowest, and the length of the
+    context above them; without its lowest byte it is the key of the context.
     """
     raw = b"".join(bytes([START]) * ORDER + u + bytes([END]) for u in urls)
-    flat = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    flat = np.frombuffer(raw, np.uint8).astype(np.int64)
     size = np.array([len(u) + 1 for u in urls], np.int64)
     row = np.repeat(np.arange(len(urls)), size + ORDER)
     head = np.repeat(np.cumsum(size + ORDER) - size - ORDER, size + ORDER)
     at = np.flatnonzero(np.arange(len(flat)) - head >= ORDER)
-    out = np.zeros((ORDER + 2, len(at)), np.int64)
-    key = np.zeros(len(at), np.uint64)
+    out = np.zeros((ORDER + 1, len(at)), np.int64)
+    text = np.zeros(len(at), np.int64)
     for n in range(ORDER + 1):
-        key = mix64(key * np.uint64(257) + flat[at - n] + np.uint64(1))
-        out[n + 1] = (key >> np.uint64(20)).astype(np.int64) % SLOTS
+        text |= flat[at - n] << (8 * n)
+        out[n] = text | n << (8 * (ORDER + 1))
     return out, row[at]
 
 
-def context_slots(urls: list[bytes]) -> np.ndarray:
-    """Slots of the contexts of 1 to ORDER characters before each character."""
-    raw = b"".join(bytes([START]) * ORDER + u + bytes([END]) for u in urls)
-    flat = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    size = np.array([len(u) + 1 for u in urls], np.int64)
-    head = np.repeat(np.cumsum(size + ORDER) - size - ORDER, size + ORDER)
-    at = np.flatnonzero(np.arange(len(flat)) - head >= ORDER)
-    out = np.zeros((ORDER + 1, len(at)), np.int64)
-    key = np.full(len(at), np.uint64(0x5BD1E995), np.uint64)
-    for n in range(1, ORDER + 1):
-        key = mix64(key * np.uint64(257) + flat[at - n] + np.uint64(1))
-        out[n] = (key >> np.uint64(20)).astype(np.int64) % SLOTS
-    return out
+def look_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts (label x key) of the wanted keys; 0 for those that are not there."""
+    if not len(keys):
+        return np.zeros((len(counts), len(wanted)))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[:, at], 0).astype(np.float64)
 
 
 class Ratio:
     """Log-likelihood difference per character of two smoothed models."""
 
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray):
-        # label x length x slot
-        self.grams, self.contexts = grams.astype(np.float64), contexts.astype(np.float64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """Ascending keys of n-grams, and label x key counts."""
+        self.keys, self.counts = keys, counts
+        heads = np.flatnonzero(np.r_[True, np.diff(keys >> 8) != 0][: len(keys)])
+        self.contexts = keys[heads] >> 8
+        self.totals = np.add.reduceat(counts, heads, axis=1) if len(keys) else counts
 
     def score(self, urls: list[bytes]) -> np.ndarray:
         """Positive: more like the accepted ones."""
         if not urls:
             return np.zeros(0)
-        grams, row = ngram_slots(urls)
-        ctx = context_slots(urls)
-        diff = np.zeros(len(row))
-        for label, sign in ((0, 1.0), (1, -1.0)):
-            total = self.contexts[label, 0, 0]
-            p = (self.grams[label, 1][grams[1]] + WEIGHT / 256) / (total + WEIGHT)
-            for n in range(1, ORDER + 1):
-                p = (self.grams[label, n + 1][grams[n + 1]] + WEIGHT * p) / (self.contexts[label, n][ctx[n]] + WEIGHT)
-            diff += sign * np.log(np.minimum(p, 1.0))
+        grams, row = ngram_keys(urls)
+        p = np.full((2, len(row)), 1 / 256)
+        for key in grams:
+            # most positions repeat: each distinct n-gram is looked up once
+            once, at = np.unique(key, return_inverse=True)
+            seen, before = look_up(self.keys, self.counts, once), look_up(self.contexts, self.totals, once >> 8)
+            p = (seen[:, at] + WEIGHT * p) / (before[:, at] + WEIGHT)
+        diff = np.log(np.minimum(p[0], 1.0)) - np.log(np.minimum(p[1], 1.0))
         return np.bincount(row, diff, len(urls)) / np.bincount(row, minlength=len(urls))
 
 
 def count_grams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of n-grams and contexts: fold x label x length x slot.
+    """Ascending keys of all n-grams, and their counts: fold x label x key.
 
     ``labelled`` has url, label (0 accepted, 1 rejected) and fold (0 or 1).
     """
-    shape = (2, 2, 2, ORDER + 2, SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(shape, np.int64)
         for b in slices(batches, "url"):
-            urls = blobs(b.column("url"))
-            label, fold = (np.array(b.column(c).to_pylist()) for c in ("label", "fold"))
-            for y in (0, 1):
-                for f in (0, 1):
-                    mine = [u for u, ok in zip(urls, (label == y) & (fold == f), strict=True) if ok]
-                    if mine:
-                        grams, _ = ngram_slots(mine)
-                        ctx = context_slots(mine)
-                        sums[0, f, y, 0, 0] += grams.shape[1]
-                        sums[1, f, y, 0, 0] += grams.shape[1]
-                        for n in range(1, ORDER + 2):
-                            sums[0, f, y, n] += np.bincount(grams[n], minlength=SLOTS)
-                        for n in range(1, ORDER + 1):
-                            sums[1, f, y, n] += np.bincount(ctx[n], minlength=SLOTS)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums.ravel()[at], pa.int64())], names=["slot", "n"])
-
-    got = labelled.select("url", "label", "fold").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(int(np.prod(shape)), np.int64)
-    sums[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    sums = sums.reshape(shape)
-    return sums[0], sums[1]
+            grams, row = ngram_keys(blobs(b.column("url")))
+            label, fold = (np.array(b.column(c).to_pylist(), np.int64) for c in ("label", "fold"))
+            kind = (2 * fold + label)[row]
+            keys, at = np.unique(grams, return_inverse=True)
+            n = np.bincount((at.reshape(grams.shape) * 4 + kind).ravel(), minlength=4 * len(keys)).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(n[:, i]) for i in range(4))], names=["gram", "n0", "n1", "n2", "n3"])
+
+    names = ["n0", "n1", "n2", "n3"]
+    got = labelled.select("url", "label", "fold").mapInArrow(run, "gram long, n0 long, n1 long, n2 long, n3 long")
+    got = got.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    keys = got.column("gram").to_numpy()
+    by = np.argsort(keys)
+    return keys[by], np.stack([got.column(c).to_numpy()[by] for c in names]).reshape(2, 2, -1)
 
 
 def calibrate(labelled: DataFrame, model: Ratio, fold: int) -> float:
     """The threshold with the least balanced error on rows of a fold."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist = np.zeros((2, BINS), np.int64)
         for b in slices(batches, "url"):
-            s = model.score(blobs(b.column("url")))
+            s = shared.value.score(blobs(b.column("url")))
             at = np.clip(np.rint((s + LIMIT) / (2 * LIMIT) * (BINS - 1)), 0, BINS - 1).astype(int)
             np.add.at(hist, (np.array(b.column("label").to_pylist(), int), at), 1)
         at = np.flatnonzero(hist)
@@ -178,10 +165,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     blocked = F.col("hit").isin([i for i, r in enumerate(rules) if r[0] == "block"])
     labelled = rows.filter("hit IS NOT NULL").select("url", blocked.cast("int").alias("label"), F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(2)).cast("int").alias("fold"))
-    grams, contexts = count_grams(labelled)
-    ready = bool((grams.sum(axis=0)[:, 0, 0] > 0).all())
-    threshold = calibrate(labelled, Ratio(grams[0], contexts[0]), 1) if ready else 0.0
-    model = pages.sparkSession.sparkContext.broadcast(Ratio(grams.sum(axis=0), contexts.sum(axis=0)))
+    keys, counts = count_grams(labelled)
+    ready = bool((counts.sum(axis=(0, 2)) > 0).all())
+    threshold = calibrate(labelled, Ratio(keys, counts[0]), 1) if ready else 0.0
+    model = pages.sparkSession.sparkContext.broadcast(Ratio(keys, counts.sum(axis=0)))
     names = F.lit(None).cast("string")
     for i, r in enumerate(rules):
         names = F.when(F.col("hit") == i, F.lit(r[1] + r[2])).otherwise(names)
