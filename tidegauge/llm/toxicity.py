@@ -155,23 +155,26 @@ def remainder(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows outside the held-out fifth, of any length.
 
-    Labels without an id or a value are no labels; an id with several counts as
-    toxic if one of them says so. The sample is by hash of the id, so it does not
-    depend on how rows are dealt.
+    Labels without an id or a value, and those of ids that ``docs`` does not hold,
+    are no labels; an id with several counts as toxic if one of them says so. The
+    sample is by hash of the id and the text, so it does not depend on how rows are
+    dealt; repeated rows are drawn once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).dropna()
     known = known.filter(remainder() != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-sample")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(text.join(F.broadcast(sample), "doc_id").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "toxic-texts")
-    # by the same hash order, up to the row with which the text passes its bound
-    sizes = found.groupBy("doc_id").agg(F.sum("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    # labels of other tables leave before the sample is drawn: only ids are joined here
+    known = known.join(text.select("doc_id").dropna(), "doc_id", "left_semi")
+    sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-sample")
+    found = stored(text.join(F.broadcast(sample), "doc_id").withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)), "key": F.xxhash64("text")}), "toxic-texts")
+    # by the same hash order, up to the row with which the text passes its bound;
+    # an id may have many texts, so the rows are bounded again
+    by = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("key")]
+    sizes = found.groupBy("doc_id", "key").agg(F.max("size").alias("size")).orderBy(*by).limit(rows).toArrow()
     total = np.cumsum(sizes.column("size").to_numpy())
     most = int(np.searchsorted(total, SAMPLE_BYTES)) + 1
-    chosen = found.drop("size")
-    if most < len(total):
-        ids = found.sparkSession.createDataFrame([(int(x),) for x in sizes.column("doc_id").to_numpy()[:most]], "doc_id long")
-        chosen = chosen.join(F.broadcast(ids), "doc_id")
+    ids = found.sparkSession.createDataFrame([(int(i), int(k)) for i, k in zip(*(sizes.column(c).to_pylist()[:most] for c in ("doc_id", "key")), strict=True)], "doc_id long, key long")
+    chosen = stored(found.drop("size").join(F.broadcast(ids), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).drop("key"), "toxic-chosen")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -208,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(n, pa.int64()), *arrays], names=["doc_id", "y", "n", "sentence", "feature"])
 
     got = chosen.select("doc_id", "y", "text").mapInArrow(sparse, "doc_id long, y int, n long, sentence array<int>, feature array<int>").toArrow().combine_chunks()
-    got = got.sort_by("doc_id")
+    got = got.sort_by([("doc_id", "ascending"), ("n", "ascending")])
     inner, what = (got.column(c).combine_chunks() for c in ("sentence", "feature"))
     row = np.repeat(np.arange(got.num_rows), pc.list_value_length(inner).to_numpy())
     inner, what = inner.flatten().to_numpy().astype(np.int64), what.flatten().to_numpy().astype(np.int64)
