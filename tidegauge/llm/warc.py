@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ._shared import maybe_broadcast, slices, stored, table
 
 ARCHIVE_BYTES = 8 << 20  # an archive is closed when it has grown beyond this
-HEAD_BYTES = 1 << 20  # of a plain record, while the reader looks for the next valid one
+CHUNK_BYTES = 4 << 10  # first piece of a member that is inflated; pieces double up to MOST_BYTES
+MOST_BYTES = 1 << 20
 BROADCAST_ROWS = 200_000  # groups of equal payloads that are broadcast at most
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -90,22 +91,41 @@ class Record:
         return len(self.payload)
 
 
-def parse_record(raw: bytes, at: int, head: int | None = None) -> tuple[dict[str, str], bytes, int] | None:
+class Ahead:
+    """First place of a pattern at or after a position that only grows: every byte is searched once."""
+
+    def __init__(self, data: bytes, pattern: bytes):
+        self.data, self.pattern, self.next = data, pattern, -1
+
+    def of(self, at: int) -> int:
+        """The length of the data where there is none."""
+        if self.next < at:
+            self.next = self.data.find(self.pattern, at)
+            if self.next < 0:
+                self.next = len(self.data)
+        return self.next
+
+
+def parse_record(raw: bytes, at: int, ends: Ahead | None = None) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, block and end of the plain record at ``at``, if it passes all checks.
 
-    Its header may have any length, or ``head`` bytes at most.
+    Its header may have any length. Lines are read one by one, so that a false
+    start costs no more than what lies before its first line without a colon.
     """
     if not raw.startswith(VERSION, at):
         return None
-    split = raw.find(b"\r\n\r\n", at, len(raw) if head is None else at + head)
-    if split < 0:
+    split = (ends or Ahead(raw, b"\r\n\r\n")).of(at)
+    if split >= len(raw):
         return None
     headers = {}
-    for line in raw[at:split].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
+    line_at = raw.find(b"\r\n", at) + 2
+    while line_at < split + 2:
+        line_end = raw.find(b"\r\n", line_at)
+        name, colon, value = raw[line_at:line_end].decode("utf-8", "replace").partition(":")
         if not colon:
             return None
         headers[name.strip().lower()] = value.strip()
+        line_at = line_end + 2
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return None
@@ -119,40 +139,58 @@ def parse_record(raw: bytes, at: int, head: int | None = None) -> tuple[dict[str
     return headers, block, end + 4
 
 
-def read_at(data: bytes, at: int, head: int | None = None) -> Record | None:
-    """The record that begins at ``at``: a gzip member, or plain with a header of up to ``head`` bytes."""
-    if data.startswith(MEMBER, at):
-        z = zlib.decompressobj(31)
-        try:
-            raw = z.decompress(memoryview(data)[at:])
-        except zlib.error:
-            return None
-        if not z.eof or (found := parse_record(raw, 0)) is None or found[2] != len(raw):
-            return None
-        return Record(found[0], found[1], at, len(data) - len(z.unused_data))
-    if (found := parse_record(data, at, head)) is None:
+def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """Bytes and end of the gzip member at ``at``.
+
+    It is fed in pieces: the decompressor copies what follows a member within its
+    last piece only, not the archive's rest.
+    """
+    z, out, view, step = zlib.decompressobj(31), [], memoryview(data), CHUNK_BYTES
+    try:
+        while not z.eof and at < len(data):
+            piece = view[at : at + step]
+            out.append(z.decompress(piece))
+            at += len(piece)
+            step = min(2 * step, MOST_BYTES)
+    except zlib.error:
         return None
-    return Record(found[0], found[1], at, found[2])
+    return (b"".join(out), at - len(z.unused_data)) if z.eof else None
+
+
+def read_at(data: bytes, at: int, ends: Ahead | None = None) -> list[Record]:
+    """The records that begin at ``at``: those of a gzip member, or a plain one; none where a check fails."""
+    if data.startswith(MEMBER, at):
+        if (got := inflate(data, at)) is None:
+            return []
+        raw, end = got
+        inner, found, pos = Ahead(raw, b"\r\n\r\n"), [], 0
+        while pos < len(raw):
+            if (one := parse_record(raw, pos, inner)) is None:
+                return []
+            found.append(Record(one[0], one[1], at, end))
+            pos = one[2]
+        return found
+    one = parse_record(data, at, ends)
+    return [Record(one[0], one[1], at, one[2])] if one else []
 
 
 def salvage(data: bytes) -> tuple[list[Record], list[tuple[int, int, str]]]:
     """Valid records of an archive, and the gaps (start, end, reason) between them."""
     records: list[Record] = []
     gaps: list[tuple[int, int, str]] = []
+    member, version, ends = Ahead(data, MEMBER), Ahead(data, VERSION), Ahead(data, b"\r\n\r\n")
     at, bad = 0, -1
     while at < len(data):
-        found = read_at(data, at, HEAD_BYTES if bad >= 0 else None)
-        if found:
+        if found := read_at(data, at, ends):
             if bad >= 0:
                 gaps.append((bad, at, _reason(data, bad)))
                 bad = -1
-            records.append(found)
-            at = found.end
+            records += found
+            at = found[-1].end
             continue
         if bad < 0:
             bad = at
-        nexts = [i for i in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if i >= 0]
-        at = min(nexts, default=len(data))
+        at = min(member.of(at + 1), version.of(at + 1))
     if bad >= 0:
         gaps.append((bad, len(data), _reason(data, bad)))
     return records, gaps
@@ -206,6 +244,42 @@ def write_archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIV
     return stored(marked.mapInArrow(run, "archive string, data binary"), "warc-archives")
 
 
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """Write every archive as a file of its name below ``folder``; returns archive, n_bytes.
+
+    ``folder`` is a path or URI that Arrow's file systems open on the executors. A
+    file gets its name only when it is whole, so a task that runs twice leaves one.
+    Null archives are empty files; of archives with one name, one stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where.create_dir(base, recursive=True)
+        for batch in batches:
+            names, sizes = batch.column("archive").to_pylist(), []
+            for name, data in zip(names, batch.column("data"), strict=True):
+                data = data.as_py() or b""
+                part = f"{base}/_{name}.{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(data)
+                where.move(part, f"{base}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["archive", "n_bytes"])
+
+    return stored(archives.select("archive", "data").mapInArrow(run, "archive string, n_bytes long"), "warc-files")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Archives at a path or pattern, as ``read_archives`` and ``archive_gaps`` take them.
+
+    Any file that Spark can reach, ``.warc.gz`` or plain; a file is a row, of less
+    than 2 GiB. Names that begin with ``_`` or ``.`` are skipped.
+    """
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("data"))
+
+
 RECORDS = "archive string, start long, end long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
