@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import blobs, slices, table
+from ._shared import blobs, slices, stored, table
 
 RATE = 8000  # samples a second of the PCM stream
 UNIT = 192  # payloads are padded to a positive multiple of this
@@ -249,4 +249,5 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(store_media(table(spark, sf_dir, "documents")))
+    media = stored(store_media(table(spark, sf_dir, "documents")), "ogg-media")
+    return read_media(media)
