@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import pytest
+from test_keep import plain_kept_equal, plain_kept_near, rows_of
 from test_operators import ROWS, plain_components, table
 from test_operators import docs as docs  # noqa: F401  the fixture
 
-import corpus_pipeline
 from tidegauge.llm import components, lsm_dedup, neardup, substring, warc
 
 
 @pytest.fixture
 def unbounded(monkeypatch):
-    for module in (components, neardup, substring, warc, corpus_pipeline):
+    for module in (components, neardup, substring, warc, lsm_dedup):
         monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "TASK_EDGES", 0)
 
 
 def test_near_duplicates(docs, unbounded):  # noqa: F811
@@ -22,9 +23,8 @@ def test_near_duplicates(docs, unbounded):  # noqa: F811
 
 
 def test_small_cells(docs, monkeypatch):  # noqa: F811
-    """Blocks of one set and shares of one row: every pair of rows still meets."""
+    """Blocks of one set: every pair of nodes still meets."""
     monkeypatch.setattr(neardup, "CELL_SETS", 1)
-    monkeypatch.setattr(neardup, "SHARE", 1)
     got = neardup.near_duplicates(docs)
     assert table(got.select("doc_id", "n_shingles", "component_id")) == plain_components(ROWS)
 
@@ -40,9 +40,6 @@ def test_archives(spark, unbounded):
     assert got == {(3, "revisit", 1), (1, "response", None), (2, "response", None), (4, "response", None)}
 
 
-def test_stage(docs, unbounded):  # noqa: F811
-    kept = corpus_pipeline.drop_copies(docs.sparkSession, docs, "")
-    best = {r.doc_id for r in lsm_dedup.exact_dedup(docs).filter("kept").collect()}
-    # rows without an id cannot be named, so they stay
-    assert {r.doc_id for r in kept.collect()} - {None} == best - {None}
-    assert kept.columns == docs.columns
+def test_kept_rows(docs, unbounded):  # noqa: F811
+    assert rows_of(lsm_dedup.keep_one(docs)) == plain_kept_equal(ROWS)
+    assert rows_of(neardup.keep_one(docs)) == plain_kept_near(ROWS)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
@@ -54,6 +55,50 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
+def fresh(columns: list[str], count: int) -> list[str]:
+    """Names that no column has, whatever the case."""
+    taken, out, i = {c.lower() for c in columns}, [], 0
+    while len(out) < count:
+        if f"_{i}" not in taken:
+            out.append(f"_{i}")
+        i += 1
+    return out
+
+
+def text_hash(column: str | Column = "text") -> Column:
+    """With the doc_id, what tells a row from others that share its id."""
+    return F.xxhash64(F.col(column).cast("string") if isinstance(column, str) else column)
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+    """Rows of ``docs`` of which ``marked`` says that they are kept, one of each group.
+
+    ``marked`` has doc_id, text_hash, kept and grp (null: on its own) for every row.
+    Rows are told apart by id and text, so ids that repeat or are missing do no
+    harm. Where several rows of a group are kept alike (rows that repeat, or have
+    no id), the longest text stays, then the largest; of rows that are equal, one.
+    Marks are broadcast where they have at most ``rows`` rows.
+    """
+    marked = stored(marked.select("doc_id", "text_hash", "kept", "grp"), "marked")
+    kept = marked.filter("kept AND grp IS NOT NULL")
+    several = stored(kept.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp"), "tied")
+    ties = kept.join(maybe_broadcast(several, rows), "grp").select("doc_id", "text_hash", "grp")
+    gone = marked.filter("NOT kept").select("doc_id", "text_hash", F.lit(None).cast(marked.schema["grp"].dataType).alias("grp"))
+    marks = stored(gone.union(ties).distinct(), "marks")
+    key, doc, text, grp, hit, row = fresh(docs.columns, 6)
+    marks = marks.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("grp").alias(grp), F.lit(1).alias(hit))
+    keyed = docs.withColumn(key, text_hash())
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text))
+    joined = keyed.join(maybe_broadcast(marks, rows), same, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = joined.filter(F.col(hit).isNull()).select(columns)
+    if several.isEmpty():
+        return rest
+    order = F.struct(F.length("text"), F.col("text"), F.xxhash64(*columns))
+    best = joined.filter(F.col(grp).isNotNull()).groupBy(grp).agg(F.max_by(F.struct(columns), order).alias(row))
+    return rest.union(best.select(f"{row}.*"))
+
+
 # ------------------------------------------------------------- Arrow columns
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one flat byte array and n + 1 offsets; null is empty."""
@@ -151,6 +196,11 @@ def word_spans(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE_MASK)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, "right") - 1
 
 
+# Polynomials modulo 2**64 collide on built strings of a thousand letters; spans
+# beyond this many bytes are hashed one by one.
+LONG_SPAN = 64
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of bytes, from prefix sums of a polynomial."""
     out = np.zeros(len(starts), np.uint64)
@@ -166,6 +216,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             s, e = starts[at:to] - base, ends[at:to] - base
             out[at:to] = mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
             at = to
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return out
 
 

@@ -29,11 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE_BYTES, slices, stored, table
+from ._shared import SPACE_BYTES, one_of_each, slices, stored, table, text_hash
 
-RUN_SCHEMA = "digest binary, chars long, id long, n long, ids array<long>, body binary"
+RUN_SCHEMA = "digest binary, chars long, id long, n long, ids array<long>, hashes array<long>, body binary"
 FAN_IN = 4  # runs that a writer compacts into one
-MERGED_SCHEMA = "digest binary, variant int, chars long, id long, n long, ids array<long>"
+MERGED_SCHEMA = "digest binary, variant int, chars long, id long, n long, ids array<long>, hashes array<long>"
+BROADCAST_ROWS = 1_000_000  # marks of rows that are broadcast at most; beyond, tables are joined
 
 
 class Bloom:
@@ -58,12 +59,13 @@ class Bloom:
 
 @dataclass
 class Entry:
-    """One text of a run: its best row, its ids, and a zstd copy."""
+    """One text of a run: its best row, its rows' ids and text hashes, and a zstd copy."""
 
     body: bytes
     chars: int
     id: int | None
     ids: list
+    hashes: list
 
     def rank(self) -> tuple:
         return -self.chars, self.id is None, self.id or 0
@@ -73,6 +75,7 @@ class Entry:
         if other.rank() < self.rank():
             self.chars, self.id = other.chars, other.id
         self.ids += other.ids
+        self.hashes += other.hashes
 
 
 class Run:
@@ -105,13 +108,13 @@ class Writer:
         self.pack = zstandard.ZstdCompressor(level=1)
         self.unpack = zstandard.ZstdDecompressor()
 
-    def put(self, digest: bytes, body: bytes, chars: int, doc: int | None) -> None:
-        new = Entry(body, chars, doc, [doc])
+    def put(self, digest: bytes, body: bytes, chars: int, doc: int | None, row: int) -> None:
+        new = Entry(body, chars, doc, [doc], [row])
         same = self.table.setdefault(digest, [])
         for e in same:
             if e.body == body:
                 e.absorb(new)
-                self.size += 40
+                self.size += 80
                 return
         same.append(new)
         self.size += len(body) + 300
@@ -157,9 +160,9 @@ class Writer:
                 out.append((k, entries))
         self.runs = []
         out.sort(key=lambda x: x[0])
-        rows = [(k, e.chars, e.id, len(e.ids), e.ids, e.body) for k, entries in out for e in entries]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        names = ["digest", "chars", "id", "n", "ids", "body"]
+        rows = [(k, e.chars, e.id, len(e.ids), e.ids, e.hashes, e.body) for k, entries in out for e in entries]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = ["digest", "chars", "id", "n", "ids", "hashes", "body"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -169,9 +172,9 @@ def index_runs(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataF
         for b in slices(batches, "text"):
             col = b.column("text").fill_null("")
             chars = pc.utf8_length(col).to_pylist()
-            for doc, body, n in zip(b.column("doc_id").to_pylist(), col.cast(pa.large_binary()).to_pylist(), chars, strict=True):
+            for doc, body, n, row in zip(b.column("doc_id").to_pylist(), col.cast(pa.large_binary()).to_pylist(), chars, b.column("hash").to_pylist(), strict=True):
                 body = body.translate(None, SPACE_BYTES)
-                out.put(hashlib.sha256(body).digest()[:digest_bytes], body, n, doc)
+                out.put(hashlib.sha256(body).digest()[:digest_bytes], body, n, doc, row)
                 if out.full():
                     out.flush()
                     if len(out.runs) == FAN_IN:
@@ -180,7 +183,8 @@ def index_runs(docs: DataFrame, digest_bytes: int, memtable_bytes: int) -> DataF
         if (last := out.compact()) is not None:
             yield last
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, RUN_SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("hash", text_hash()).mapInArrow(write, RUN_SCHEMA)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
@@ -211,12 +215,22 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                     bodies.append(body)
                 packed.append(z)
                 variants.append(len(packed) - 1)
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(variants, pa.int32()), *(b.column(c) for c in ("chars", "id", "n", "ids"))], names=["digest", "variant", "chars", "id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(variants, pa.int32()), *(b.column(c) for c in ("chars", "id", "n", "ids", "hashes"))], names=["digest", "variant", "chars", "id", "n", "ids", "hashes"])
 
     sorted_runs = runs.repartition("digest").sortWithinPartitions("digest")
     return sorted_runs.mapInArrow(merge, MERGED_SCHEMA)
 
 
+def equal_groups(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 12 << 20) -> DataFrame:
+    """``exact_dedup`` with what tells rows apart: text_hash, and the group as grp."""
+    entries = stored(merge_runs(index_runs(docs, digest_bytes, memtable_bytes)), "lsm-merged")
+    best = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("i"))
+    compacted = entries.groupBy("digest", "variant").agg(F.min(best).alias("best"), F.sum("n").alias("group_size"))
+    rows = entries.select("digest", "variant", F.arrays_zip("ids", "hashes").alias("rows")).join(compacted, ["digest", "variant"])
+    rows = rows.select(F.explode("rows").alias("r"), F.col("best.i").alias("keep_id"), "group_size", "digest", F.struct("digest", "variant").alias("grp"))
+    return rows.select(F.col("r.ids").alias("doc_id"), "keep_id", "group_size", "digest", F.col("r.ids").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("r.hashes").alias("text_hash"), "grp")
+
+
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 12 << 20) -> DataFrame:
     """Groups of equal texts, and which row of each stays.
 
@@ -224,15 +238,22 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, memtable_bytes: int = 1
     their names. Null text counts as empty; texts are equal when identical
     without ASCII white space; the empty text is a group like any other. The row
     with the most code points stays, then the smallest doc_id; rows with a null
-    doc_id come last in ties. Repeated rows count each time. An empty table gives
-    an empty result. Returns one row per document: doc_id, keep_id, group_size,
-    kept, digest.
+    doc_id come last in ties. Rows that repeat the kept doc_id in its group are all
+    kept. Repeated rows count each time. A text may have any length: a memtable is
+    flushed behind the row that fills it. An empty table gives an empty result.
+    Returns one row per document: doc_id, keep_id, group_size, kept, digest.
     """
-    entries = stored(merge_runs(index_runs(docs, digest_bytes, memtable_bytes)), "lsm-merged")
-    best = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("z"), F.col("id").alias("i"))
-    compacted = entries.groupBy("digest", "variant").agg(F.min(best).alias("best"), F.sum("n").alias("group_size"))
-    rows = entries.select("digest", "variant", "ids").join(compacted, ["digest", "variant"])
-    return rows.select(F.explode("ids").alias("doc_id"), F.col("best.i").alias("keep_id"), "group_size", "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return equal_groups(docs, digest_bytes, memtable_bytes).select("doc_id", "keep_id", "group_size", "digest", "kept")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts: the longest, then that
+    with the smallest doc_id.
+
+    All columns stay. Groups without any doc_id keep one row too; of rows that
+    repeat, one stays.
+    """
+    return one_of_each(docs, equal_groups(docs), BROADCAST_ROWS)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

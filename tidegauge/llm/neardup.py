@@ -5,13 +5,17 @@ sets of similarity 0.75 differ in a quarter of them on average; all pairs that
 differ in at most ``THRESHOLD`` are found: by pigeonhole one of the CHUNKS chunks
 then has at most one wrong symbol, and the index holds each chunk once for each
 symbol that may be wrong. (At similarity 0.75 a pair passes the threshold with
-probability 0.00003, above that more rarely.)
+probability 0.99997, above that more surely.)
 
 Sets, not documents, are joined; copies stay in their task's row until the end.
-Within a bucket no pairs are emitted: members are first linked to the bucket's
-smallest member, verified on full sets, and grouped. Only groups that still meet
-in a bucket are searched through, by signature distance and then on full sets,
-between groups and in cells of bounded size; links come out, never pairs.
+Within a bucket no pairs are emitted: members are first linked to the smallest
+member they share most buckets with, verified on full sets, and grouped. Buckets
+that still hold several groups are searched through in cells of bounded size: a
+cell holds two blocks of nodes that meet in a bucket, first with signatures only,
+then with the texts of those nodes that have a partner of another group within
+the distance. Links come out, never pairs.
+
+Full sets are compared as 64-bit hashes of word shingles.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, maybe_broadcast, mix64, shingle_hashes, slices, span_hashes, stored, table, text_bytes, word_spans
-from .components import components, roots
+from ._shared import lower_ascii, maybe_broadcast, mix64, one_of_each, shingle_hashes, slices, span_hashes, stored, table, text_bytes, text_hash, word_spans
+from .components import components
 
 K = 5  # words in a shingle
 SYMBOLS, CHUNKS = 64, 16
@@ -34,12 +38,11 @@ WIDTH = SYMBOLS // CHUNKS
 THRESHOLD = 2 * CHUNKS - 1  # beyond it every chunk may have two errors
 NUMERATOR, DENOMINATOR = 75, 100
 FLUSH_SETS, FLUSH_IDS = 20_000, 1_000_000  # what a task gathers before it emits
-CELL_SETS, CELL_SHINGLES = 512, 500_000  # sets held at once, and their shingles
-SHARE = 512  # rows that one cell streams past them
+CELL_SETS, CELL_SHINGLES = 512, 500_000  # sets of a block, and their shingles
 BROADCAST_ROWS = 500_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SKETCH = "cls binary, n long, sig binary, first long, ids array<long>"
+SKETCH = "cls binary, n long, sig binary, first long, hash long, rows array<struct<doc_id:long,text_hash:long>>"
 
 
 def shingle_sets(col: pa.Array, k: int = K) -> list[np.ndarray]:
@@ -70,33 +73,48 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", text_hash())
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """Distinct sets of each task's rows, with the ids that have them."""
+    """Distinct sets of each task's rows, with the rows that have them, and one
+    row whose text stands for the set: that with the smallest doc_id.
+    """
+    row = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes | None, list] = {}
         count = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(k, n, sig, min((i for i in ids if i is not None), default=None), ids) for k, (n, sig, ids) in held.items()]
+            best = [min(zip(ids, hashes, strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1])) for _, _, ids, hashes in held.values()]
+            size = pa.array(np.r_[0, np.cumsum([len(e[2]) for e in held.values()])].astype(np.int32))
+            flat = [pa.array([x for e in held.values() for x in e[i]], pa.int64()) for i in (2, 3)]
+            cols = [
+                pa.array(list(held), pa.binary()),
+                pa.array([e[0] for e in held.values()], pa.int64()),
+                pa.array([e[1] for e in held.values()], pa.binary()),
+                *(pa.array([b[i] for b in best], pa.int64()) for i in (0, 1)),
+                pa.ListArray.from_arrays(size, pa.StructArray.from_arrays(flat, fields=list(row))),
+            ]
             held.clear()
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cls", "n", "sig", "first", "ids"])
+            return pa.RecordBatch.from_arrays(cols, names=["cls", "n", "sig", "first", "hash", "rows"])
 
         for b in slices(batches, "text"):
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text")), strict=True):
+            for doc, h, s in zip(b.column("doc_id").to_pylist(), b.column("hash").to_pylist(), shingle_sets(b.column("text")), strict=True):
                 key = set_key(s) if len(s) else None
                 if (entry := held.get(key)) is None:
-                    entry = held[key] = [len(s), signature(s) if len(s) else None, []]
+                    entry = held[key] = [len(s), signature(s) if len(s) else None, [], []]
                 entry[2].append(doc)
+                entry[3].append(h)
                 count += 1
             if len(held) >= FLUSH_SETS or count >= FLUSH_IDS:
                 yield out()
                 count = 0
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return _rows(docs).mapInArrow(run, SKETCH)
 
 
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
@@ -121,11 +139,14 @@ def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], names=list(cols))
 
 
-def first_links(nodes: DataFrame) -> DataFrame:
-    """For each node the smaller node that it shares most keys with, as head of a bucket.
+def index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets with two or more nodes, as two tables (key, node, head).
 
-    Heads of a task's rows are found first; only they are shuffled by key, so a
-    bucket has one row for each block of rows, however many members.
+    The first has, for each task's block of rows, the nodes that meet a smaller
+    one of their block (the head) in a bucket. The second has the smallest node
+    of each block in each bucket; its head is the smallest of all. Only these are
+    shuffled by key, so a bucket has one row for each block, however many members,
+    and buckets of one node end here.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,116 +160,166 @@ def first_links(nodes: DataFrame) -> DataFrame:
             by = np.lexsort((who, flat))
             flat, who = flat[by], who[by]
             head = np.r_[True, flat[1:] != flat[:-1]]
-            first = who[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            rest = who != first
-            yield _batch(key=np.zeros(int(rest.sum()), np.int64), node=who[rest], head=first[rest])
-            yield _batch(key=flat[head], node=who[head], head=np.full(int(head.sum()), -1, np.int64))
+            at = np.flatnonzero(head)
+            first = who[at[np.cumsum(head) - 1]]
+            alone = np.diff(np.r_[at, len(flat)]) == 1
+            yield _batch(key=flat[~head], node=who[~head], head=first[~head])
+            # block heads: -1 alone, -2 with others of the block
+            yield _batch(key=flat[head], node=who[head], head=np.where(alone, -1, -2))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, 0
+        rest = [np.zeros(0, np.int64)] * 3  # the last bucket's rows, unless a row of it is out already
+        open_key, open_head = None, 0
+
+        def of(key: np.ndarray, node: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+            fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            at = np.flatnonzero(fresh)
+            which = np.cumsum(fresh) - 1
+            size = np.diff(np.r_[at, len(key)])
+            many = (size[which] > 1) | (mark[at] == -2)[which] if len(key) else fresh
+            first = node[at][which] if len(key) else node
+            if len(key) and key[0] == open_key:
+                first = np.where(which == 0, open_head, first)
+                many = many | (which == 0)
+            return _batch(key=key[many], node=node[many], head=first[many])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node = b.column("key").to_numpy(), b.column("node").to_numpy()
-            head = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
-            at = np.cumsum(head) - 1
-            firsts = np.r_[first, node[head]][at + 1]
-            rest = node != firsts
-            last, first = key[-1], firsts[-1]
-            if rest.any():
-                yield _batch(node=node[rest], head=firsts[rest])
+            key, node, mark = (np.concatenate([r, b.column(c).to_numpy()]) for r, c in zip(rest, ("key", "node", "head"), strict=True))
+            cut = int(np.searchsorted(key, key[-1], "left")) if np.all(key[1:] >= key[:-1]) else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            if cut == 0 and len(key) > 1 << 16:  # a hot bucket: its rows go out, the head stays
+                yield of(key, node, mark)
+                if key[0] != open_key:
+                    open_key, open_head = key[0], node[0]
+                rest = [x[:0] for x in (key, node, mark)]
+                continue
+            if cut:
+                yield of(key[:cut], node[:cut], mark[:cut])
+            rest = [key[cut:], node[cut:], mark[cut:]]
+        if len(rest[0]):
+            yield of(*rest)
 
     # blocks: rows of a task in Arrow batches, so memory stays bounded
     made = stored(nodes.select("node", "sig").mapInArrow(local, "key long, node long, head long"), "mih-local")
-    crossing = made.filter("head = -1").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(across, "node long, head long")
-    pairs = made.filter("head <> -1").select("node", "head").union(crossing).groupBy("node", "head").agg(F.count("*").alias("hits"))
-    best = pairs.groupBy("node").agg(F.max(F.struct("hits", (-F.col("head")).alias("h"))).alias("b"))
-    return best.select(F.col("node").alias("a"), (-F.col("b.h")).alias("b"))
+    heads = made.filter("head < 0").repartition("key").sortWithinPartitions("key", "node")
+    return made.filter("head >= 0"), stored(heads.mapInArrow(across, "key long, node long, head long"), "mih-heads")
+
 
+CELL = "cx long, cy long, role int, node long"
 
-def open_members(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Nodes of buckets that hold more than one group: node, n, sig, grp, low.
 
-    ``groups`` (node, root) names the group of a node; others are on their own.
-    ``low`` is the smallest group of such a bucket.
+def first_cells(inner: DataFrame, heads: DataFrame) -> DataFrame:
+    """For each node the smaller node that it shares most buckets with, in cells
+    of one such head (role 0) and up to CELL_SETS nodes (role 1).
     """
-    known = stored(nodes.join(maybe_broadcast(groups, BROADCAST_ROWS), "node", "left").select("node", "n", "sig", F.coalesce("root", "node").alias("grp")), "mih-grouped")
+    pairs = inner.select("node", "head").union(heads.filter("node <> head").select("node", "head")).groupBy("node", "head").agg(F.count("*").alias("hits"))
+    best = pairs.groupBy("node").agg(F.max(F.struct("hits", (-F.col("head")).alias("h"))).alias("b"))
+    best = stored(best.select("node", (-F.col("b.h")).alias("head")), "mih-first")
+    shares = best.groupBy("head").agg(F.ceil(F.count("*") / CELL_SETS).cast("long").alias("shares"))
+    held = shares.select(F.col("head").alias("cx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("cy"), F.lit(0).alias("role"), F.col("head").alias("node"))
+    share = F.pmod(F.xxhash64("node"), F.col("shares"))
+    return held.union(best.join(shares, "head").select(F.col("head").alias("cx"), share.alias("cy"), F.lit(1).alias("role"), "node"))
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys = chunk_keys(_signatures(b.column("sig")))
-                flat, grp = keys.ravel(), np.repeat(b.column("grp").to_numpy(), keys.shape[1])
-                by = np.lexsort((grp, flat))
-                flat, grp = flat[by], grp[by]
-                first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-                yield _batch(key=flat[first], low=grp[first], high=grp[np.r_[first[1:], len(flat)] - 1])
-
-    spans = known.select("sig", "grp").mapInArrow(heads, "key long, low long, high long")
-    opened = stored(spans.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "low"), "mih-open")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                keys = chunk_keys(_signatures(b.column("sig")))
-                row = pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(b.column(c).take(row) for c in ("node", "grp"))], names=["key", "node", "grp"])
 
-    rows = known.select("node", "sig", "grp").mapInArrow(members, "key long, node long, grp long")
-    met = rows.join(maybe_broadcast(opened, BROADCAST_ROWS), "key").groupBy("node", "grp").agg(F.collect_set("low").alias("lows"))
-    return stored(met.join(known.select("node", "n", "sig"), "node"), "mih-met")
+def open_cells(nodes: DataFrame, inner: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cells of two blocks of nodes that meet in a bucket of several groups.
 
+    ``groups`` (node, root) names the group of a node; others are on their own. A
+    node's block is a part of its largest such bucket, so that nodes which meet
+    are in few blocks; a node has a row for each block that it meets.
+    """
+    members = inner.select("key", "node").union(heads.select("key", "node"))
+    known = members.join(maybe_broadcast(groups, BROADCAST_ROWS), "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    opened = known.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("c")).filter("low < high").select("key", "c")
+    met = stored(known.join(maybe_broadcast(stored(opened, "mih-open"), BROADCAST_ROWS), "key").select("key", "c", "node"), "mih-met")
+    home = met.groupBy("node").agg(F.max(F.struct("c", "key")).alias("h")).select("node", F.col("h.key").alias("home")).join(nodes.select("node", "n"), "node")
+    home = stored(home, "mih-home")
+    parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_SHINGLES)).cast("long").alias("parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    located = home.join(parts, "home").select("node", block.alias("block"))
+    placed = stored(met.join(located, "node").select("key", "node", "block"), "mih-placed")
+    others = placed.select("key", F.col("block").alias("other")).distinct()
+    hits = placed.join(others, "key").select("node", "block", "other").distinct()
+    role = F.when(F.col("block") < F.col("other"), F.array(F.lit(0))).when(F.col("block") > F.col("other"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    return hits.select(F.least("block", "other").alias("cx"), F.greatest("block", "other").alias("cy"), F.explode(role).alias("role"), "node")
+
+
+def near_cells(cells: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of cells that have a partner of another group within the distance."""
+    named = nodes.select("node", "n", "sig").join(maybe_broadcast(groups, BROADCAST_ROWS), "node", "left").withColumn("grp", F.coalesce("root", "node"))
+    rows = cells.join(named.select("node", "n", "sig", "grp"), "node").repartition("cx", "cy").sortWithinPartitions("cx", "cy", "role", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, hit = None, None, np.zeros(0, bool)
 
-def group_links(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """Links (a, b) between groups that meet in a bucket, verified on full sets.
+        def close() -> Iterator[pa.RecordBatch]:
+            if held is not None and hit.any():
+                at = np.flatnonzero(hit)
+                yield _batch(cx=np.full(len(at), here[0]), cy=np.full(len(at), here[1]), role=np.zeros(len(at), np.int32), node=held["node"][at], grp=held["grp"][at])
 
-    Groups that meet, directly or through others, form a neighbourhood. Its
-    largest group is only streamed; the sets of the others are held in blocks of
-    one size class (similar sets are of the same or a neighbouring class). A cell
-    takes one block and a share of the rows; it never emits pairs, but at most one
-    link for each two groups that it joins.
+        for b in batches:
+            cols = {c: b.column(c).to_numpy() for c in ("cx", "cy", "role", "node", "n", "grp")}
+            cols["sig"] = _signatures(b.column("sig"))
+            cut = np.flatnonzero(np.r_[True, (cols["cx"][1:] != cols["cx"][:-1]) | (cols["cy"][1:] != cols["cy"][:-1]), True]) if b.num_rows else []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                spot = int(cols["cx"][x]), int(cols["cy"][x])
+                if spot != here:
+                    yield from close()
+                    here, held, hit = spot, None, np.zeros(0, bool)
+                z = x + int(np.searchsorted(cols["role"][x:y], 1))
+                if z > x:
+                    more = {c: v[x:z] for c, v in cols.items()}
+                    held = more if held is None else {c: np.concatenate([held[c], more[c]]) for c in more}
+                    hit = np.zeros(len(held["node"]), bool)
+                if held is None or z == y:
+                    continue
+                good = np.zeros(y - z, bool)
+                for i in range(z, y):
+                    fit = (held["grp"] != cols["grp"][i]) & (np.minimum(held["n"], cols["n"][i]) * DENOMINATOR >= np.maximum(held["n"], cols["n"][i]) * NUMERATOR)
+                    at = np.flatnonzero(fit)
+                    if len(at):
+                        at = at[np.count_nonzero(held["sig"][at] != cols["sig"][i], axis=1) <= THRESHOLD]
+                        hit[at] = True
+                        good[i - z] = len(at) > 0
+                if good.any():
+                    at = z + np.flatnonzero(good)
+                    yield _batch(**{c: cols[c][at] for c in ("cx", "cy", "role", "node", "grp")})
+        yield from close()
+
+    return rows.select("cx", "cy", "role", "node", "n", "grp", "sig").mapInArrow(run, f"{CELL}, grp long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links (u, v) between the two sides of each cell, verified on full sets.
+
+    ``cells`` is a stored table of cx, cy, role, node, grp; one link comes out for
+    two groups that a cell joins. A text is sent once to each cell it is in.
     """
-    hoods = components(met.select(F.explode("lows").alias("low"), "grp"))
-    size_class = F.floor(F.log("n") / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
-    m = met.select("node", "n", "sig", "grp", size_class.alias("cls")).join(maybe_broadcast(hoods.toDF("grp", "root"), BROADCAST_ROWS), "grp", "left")
-    m = stored(m.select("node", "n", "sig", "grp", "cls", F.coalesce("root", "grp").alias("hood")), "mih-hoods")
-    main = m.groupBy("hood", "grp").agg(F.count("*").alias("c")).groupBy("hood").agg(F.max(F.struct("c", "grp")).alias("t")).select("hood", F.col("t.grp").alias("main"))
-    m = m.join(maybe_broadcast(stored(main, "mih-main"), BROADCAST_ROWS), "hood")
-    spot = F.xxhash64("node")
-    blocks = F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_SHINGLES)).cast("int")
-    held_blocks = stored(m.filter("grp <> main").groupBy("hood", "cls").agg(blocks.alias("blocks")), "mih-blocks")
-    shares = stored(m.groupBy("hood").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "mih-shares")
-    m = m.join(maybe_broadcast(shares, BROADCAST_ROWS), "hood")
-    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    held = m.filter("grp <> main").join(maybe_broadcast(held_blocks, BROADCAST_ROWS), ["hood", "cls"])
-    held = held.select("hood", "cls", F.pmod(spot, F.col("blocks")).cast("int").alias("block"), F.explode(every("shares")).alias("share"), F.lit(0).alias("role"), "node", "n", "sig", "grp")
-    near = m.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(maybe_broadcast(held_blocks, BROADCAST_ROWS), ["hood", "cls"])
-    streamed = near.select("hood", "cls", F.explode(every("blocks")).alias("block"), F.pmod(spot, F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), "node", "n", "sig", "grp")
-    found = bodies(docs, nodes, m.select("node").distinct())
-    cells = held.union(streamed).join(found, "node")
-    cells = cells.repartition("hood", "cls", "block", "share").sortWithinPartitions("hood", "cls", "block", "share", "role", "node")
+    found = bodies(docs, nodes, cells.select("node").distinct())
+    rows = cells.join(found, "node").repartition("cx", "cy").sortWithinPartitions("cx", "cy", "role", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         here: tuple | None = None
         cell = Cell()
         for b in slices(batches, "body", 1 << 20):
-            spots = list(zip(*(b.column(c).to_pylist() for c in ("hood", "cls", "block", "share")), strict=True))
+            spots = list(zip(*(b.column(c).to_pylist() for c in ("cx", "cy")), strict=True))
             sets = shingle_sets(pa.array([unpack.decompress(x) for x in b.column("body").to_pylist()], pa.large_binary()))
             sig, role, node, grp = _signatures(b.column("sig")), *(b.column(c).to_pylist() for c in ("role", "node", "grp"))
-            links = []
+            out = []
             for i, s in enumerate(spots):
                 if s != here:
                     here, cell = s, Cell()
                 if role[i] == 0:
                     cell.hold(node[i], grp[i], sig[i], sets[i])
                 else:
-                    links += cell.links(node[i], grp[i], sig[i], sets[i])
-            if links:
-                a, c = zip(*links, strict=True)
-                yield _batch(a=np.array(a, np.int64), b=np.array(c, np.int64))
+                    out += cell.links(node[i], grp[i], sig[i], sets[i])
+            if out:
+                u, v = zip(*out, strict=True)
+                yield _batch(u=np.array(u, np.int64), v=np.array(v, np.int64))
 
-    return cells.select("hood", "cls", "block", "share", "role", "node", "grp", "sig", "body").mapInArrow(compare, "a long, b long")
+    return rows.select("cx", "cy", "role", "node", "grp", "sig", "body").mapInArrow(compare, "u long, v long")
 
 
 class Cell:
@@ -312,8 +383,9 @@ class Cell:
 
 
 def bodies(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, body): zstd copies of the texts of some nodes."""
-    needed = stored(needed.toDF("node").join(nodes.select("node", "cls"), "node"), "mih-needed")
+    """(node, sig, body): zstd copies of the texts that stand for some nodes."""
+    wanted = needed.join(nodes.select("node", "cls", "sig", F.col("first").alias("doc"), F.col("hash").alias("h")), "node")
+    wanted = maybe_broadcast(stored(wanted, "mih-needed"), BROADCAST_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -321,44 +393,36 @@ def bodies(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
             same = [set_key(s) == c for s, c in zip(shingle_sets(b.column("text")), b.column("cls").to_pylist(), strict=True)]
             b = b.filter(pa.array(same, pa.bool_()))
             raw = b.column("text").cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([pack.compress(x) for x in raw], pa.binary())], names=["node", "body"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    found = text.join(maybe_broadcast(needed, BROADCAST_ROWS), "node").select("node", "cls", "text").mapInArrow(run, "node long, body binary")
-    return stored(found.dropDuplicates(["node"]), "mih-bodies")
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig"), pa.array([pack.compress(x) for x in raw], pa.binary())], names=["node", "sig", "body"])
 
+    text = _rows(docs)
+    found = text.join(wanted, (text["hash"] == F.col("h")) & text["doc_id"].eqNullSafe(F.col("doc"))).select("node", "cls", "sig", "text")
+    return stored(found.mapInArrow(run, "node long, sig binary, body binary").dropDuplicates(["node"]), "mih-bodies")
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = stored(pairs, "mih-pairs")
-    sized = nodes.select("node", "n")
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").filter(small * DENOMINATOR >= large * NUMERATOR).select("a", "b")
-    pairs = stored(pairs, "mih-sized")
-    found = bodies(docs, nodes, pairs.select("a").union(pairs.select("b")).distinct())
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        recent: dict[int, np.ndarray] = {}
 
-        def of(node: int, body: bytes) -> np.ndarray:
-            if node not in recent:
-                if len(recent) >= 64:
-                    recent.pop(next(iter(recent)))
-                recent[node] = shingle_sets(pa.array([unpack.decompress(body)], pa.large_binary()))[0]
-            return recent[node]
-
-        for b in slices(batches, "xa"):
-            cols = [b.column(c).to_pylist() for c in ("a", "xa", "b", "xb")]
-            good = []
-            for a, xa, c, xc in zip(*cols, strict=True):
-                one, other = of(a, xa), of(c, xc)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                good.append(DENOMINATOR * both >= NUMERATOR * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    both = pairs.join(found.toDF("a", "xa"), "a").join(found.toDF("b", "xb"), "b")
-    return both.select("a", "xa", "b", "xb").mapInArrow(check, "a long, b long")
+def near_groups(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with what tells rows apart: text_hash, and the group as grp
+    (null for the empty set).
+    """
+    sets = stored(sketch(docs), "mih-sketch")
+    stands = F.struct(F.col("first").isNull().alias("z"), F.col("first"), F.col("hash"))
+    classes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(stands).alias("r"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    # the number is written with the table, so it stays
+    nodes = stored(classes.select("cls", "n", "sig", "r.first", "r.hash", F.monotonically_increasing_id().alias("node")), "mih-nodes")
+    inner, heads = index(nodes)
+    one = links(docs, nodes, stored(first_cells(inner, heads).withColumn("grp", F.col("node")), "mih-cells"))
+    groups = components(one)
+    near = stored(near_cells(open_cells(nodes, inner, heads, groups), nodes, groups), "mih-cells")
+    final = components(links(docs, nodes, near), groups)
+    # components are named by ids, which may be null or repeat, so last of all
+    inside = final.union(final.select("root", "root").distinct()).join(nodes.select("node", "first"), "node")
+    names = inside.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(inside.select("node", "root").join(names, "root"), "mih-named")
+    parts = nodes.select("cls", "node", "first").join(maybe_broadcast(named, BROADCAST_ROWS), "node", "left")
+    parts = parts.select("cls", F.coalesce("root", "node").alias("grp"), F.coalesce("component_id", "first").alias("component_id"))
+    rows = sets.select("cls", "n", "rows").join(parts, "cls", "left").select(F.explode("rows").alias("r"), F.col("n").alias("n_shingles"), "component_id", "grp")
+    component = F.when(F.col("n_shingles") == 0, F.col("r.doc_id")).otherwise(F.col("component_id"))
+    return rows.select("r.doc_id", "n_shingles", component.alias("component_id"), F.col("r.doc_id").eqNullSafe(component).alias("kept"), "r.text_hash", "grp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -367,22 +431,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Words are
     runs of bytes other than ASCII white space, A-Z lower-cased. Null and empty
     texts, and texts without words, have the empty set and stand alone; texts of
-    fewer than five words have one shingle. Rows without a doc_id take part with
-    their text but never name a component. Repeated rows share their component.
-    Returns one row per document: doc_id, n_shingles, component_id, kept.
+    fewer than five words have one shingle. Texts may have any length: a task holds
+    one text, and two blocks' sets of CELL_SHINGLES shingles or one set more.
+
+    Links are between texts, so rows that share a doc_id but not their text are
+    documents of their own, which may be in different components. Rows without a
+    doc_id take part with their text but never name a component; where no row of a
+    component has an id, its name is null. Repeated rows share their component. An
+    empty table gives an empty result. Returns one row per document: doc_id,
+    n_shingles, component_id, kept.
     """
-    sets = stored(sketch(docs), "mih-sketch")
-    classes = sets.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("first").alias("node"), F.min(F.struct("n", "sig")).alias("s"))
-    classes = stored(classes.select("cls", "node", "s.n", "s.sig"), "mih-classes")
-    nodes = classes.filter("node IS NOT NULL")
-    one = stored(verified(docs, nodes, first_links(nodes)), "mih-links")
-    groups = roots(one)  # a node has one link, to a smaller one: a forest
-    two = stored(group_links(docs, nodes, open_members(nodes, groups)), "mih-links")
-    final = components(groups.union(two))
-    named = classes.select("cls", "node").join(final, "node", "left").select("cls", F.coalesce("root", "node").alias("component_id"))
-    rows = sets.select("cls", "n", "ids").join(named, "cls", "left").select(F.explode("ids").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    rows = rows.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that which names it.
+
+    All columns stay. Rows with the empty set all stay. Of several rows with the
+    component's id, or of a component without ids, the longest text stays; of rows
+    that repeat, one.
+    """
+    return one_of_each(docs, near_groups(docs), BROADCAST_ROWS)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
