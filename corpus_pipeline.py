@@ -11,44 +11,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import lsm_dedup, neardup, packing, secrets_scan, toxicity
-from tidegauge.llm._shared import maybe_broadcast, stored, table
-
-# Ids of dropped rows that are broadcast at most; beyond, the tables are joined.
-BROADCAST_ROWS = 1_000_000
-
-
-def _without(docs: DataFrame, marked: DataFrame, tag: str) -> DataFrame:
-    """``docs`` without the rows whose ids are marked as not kept.
-
-    Rows without an id cannot be named, so they stay.
-    """
-    dropped = stored(marked.filter("NOT kept").select("doc_id"), tag)
-    return docs.join(maybe_broadcast(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(docs.columns)
-
+from tidegauge.llm._shared import stored, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; those without text stay."""
+    """Documents that the classifier rejects go, of any length; those without text
+    stay. Repeated rows are judged alike.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal without white space the longest, then first, stays."""
-    return _without(docs, lsm_dedup.exact_dedup(docs), "copies")
+    """Of texts equal without white space the longest, then first, stays.
+
+    Rows are told apart by id and text: ids that repeat, clash or are missing do no
+    harm, and of rows that repeat one stays. A null text is empty.
+    """
+    return lsm_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    return _without(docs, neardup.near_duplicates(docs), "near-copies")
+    """Of each near-duplicate group the document with the smallest id stays, of a
+    group without ids the longest. Documents without words all stay.
+    """
+    return neardup.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of secrets are replaced by a mark; every document stays."""
+    """Spans of secrets are replaced by a mark; every row stays, repeated ones too,
+    and null texts stay null.
+    """
     return secrets_scan.redact(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and the windows that hold them."""
+    """Pieces of all documents and the windows that hold them; rows that repeat are
+    packed each, and a null text has its end mark alone.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
