@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -630,6 +631,29 @@ def test_bpe_cache_starts_anew(monkeypatch, library):
     assert [np.frombuffer(x, "<u4").tolist() for x in m.encode_batch(rows)] == [library.encode(t, add_special_tokens=False).ids for t in rows]
 
 
+LONG_WORDS = ["a" * 60_000, "ab" * 30_001 + "a", "é" * 3000, "aab" * 20_000 + "c"]
+
+
+def test_bpe_long_words(library):
+    """Linear in a word's merges, and equal to the library."""
+    letters = np.random.default_rng(0).integers(97, 123, 320_000, dtype=np.uint8).tobytes().decode()
+    m = bpe.WordBPE(PATH)
+    began = time.perf_counter()
+    got = m.encode_batch([letters, f"x {letters[:5000]} y", *LONG_WORDS])
+    assert time.perf_counter() - began < 20
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in [letters, f"x {letters[:5000]} y", *LONG_WORDS]]
+
+
+def test_pack_long_word(spark):
+    """One word of many windows: each id lies in one piece."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = np.random.default_rng(1).integers(97, 123, 200_000, dtype=np.uint8).tobytes().decode()
+    got = packing.pack(spark.createDataFrame([(1, text), (2, "z" * 50_000)], "doc_id long, text string"), path).collect()
+    for d in (1, 2):
+        ps = sorted((p for p in got if p.doc_id == d), key=lambda p: p.start)
+        assert [p.start for p in ps] == np.cumsum([0, *(p.length for p in ps)])[:-1].tolist() and sum(p.length for p in ps) == ps[0].doc_tokens
+
+
 # --------------------------------------------------------------- hashing
 def test_rows_never_share_words():
     from tidegauge.llm._shared import span_hashes, text_bytes, word_spans

@@ -1,19 +1,22 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
-The distinct words of a slice of rows lie in one flat symbol array. A round
-looks every adjacent pair up by binary search over the sorted pair keys, takes
-each word's lowest rank, and merges all its occurrences at once; words without
-a known pair leave. Rounds therefore number about the longest word's merges,
-whatever the number of words.
+The distinct words of a slice of rows lie in one flat symbol array, with the rank
+of every adjacent pair, found by binary search over the sorted pair keys. A round
+takes each word's lowest rank and merges all its occurrences at once; only pairs
+next to a merge are looked up again, and words without a known pair leave. Words
+that are left after ``LATE`` rounds are long: they go on in rounds over one rank
+each, lowest first, which touch only the places of that rank. So the work grows
+with the merges, not with a word's length times its merges.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from tokenizers import Regex, normalizers
 from ._shared import slices, table, texts
 
 CACHE_WORDS = 300_000  # words whose ids a task remembers; beyond, it starts anew
+CACHE_LETTERS = 200  # of a word that is remembered
+LATE = 64
 ROUND_BYTES = 4 << 20  # bytes of distinct words merged together
 NONE = np.int32(2**31 - 1)
 _MODELS: dict[str, WordBPE] = {}
@@ -55,17 +60,19 @@ class WordBPE:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)[order]
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)  # by rank
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = pattern
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.known: dict[str, bytes] = {}
+        # special tokens are bytes here, so no word equals them
+        self.known: dict[str | bytes, bytes] = {}
         # classes and lower case of characters as the library's Unicode tables have them
         self.classes = {k: set() for k in (r"\p{L}", r"\p{N}", r"\s")}
         self.seen: set[str] = set()
         self.odd: dict[int, str] = {}
         self.blocks: set[int] = set()
         self.learn({chr(c) for c in (*range(0x530), *range(0x2000, 0x2070), 0x3000)})
+        self.ascii_words = self.spelled(str.isascii)
 
     def around(self, chars: set[str]) -> set[str]:
         """The blocks of 4096 code points of these characters; after eight, all."""
@@ -83,27 +90,38 @@ class WordBPE:
         for name, known in self.classes.items():
             rest = normalizers.Replace(Regex(f"[{name}]"), "").normalize_str(pool)
             known |= set(pool) - set(rest)
-        spelled = self.pattern
+        self.words = self.spelled(lambda c: True)
+
+    def spelled(self, keep: Callable[[str], bool]) -> re.Pattern:
+        """The pattern with its classes written out, as far as characters are to be kept."""
+        out = self.pattern
         for name, known in self.classes.items():
-            spelled = spelled.replace(name, "".join(map(re.escape, sorted(known))))
-        self.words = re.compile(spelled)
+            out = out.replace(name, "".join(map(re.escape, sorted(filter(keep, known)))))
+        return re.compile(out)
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str | bytes]:
         """Words of a text; special tokens stand as they are in the text."""
         if self.split is not None and "<|" in text:
-            return [w for part in self.split.split(text) for w in ([part] if part in self.specials else self.pieces_plain(part))]
+            return [w for part in self.split.split(text) for w in ([part.encode()] if part in self.specials else self.pieces_plain(part))]
         return self.pieces_plain(text)
 
     def pieces_plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # Lower-casing goes letter by letter: no final form of sigma.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if new := set(text) - self.seen:
-                self.learn(self.around(new))
-            if self.odd:
-                text = text.translate(self.odd)
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        # Lower-casing goes letter by letter: no final form of sigma.
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if new := set(text) - self.seen:
+            self.learn(self.around(new))
+        if self.odd:
+            text = text.translate(self.odd)
         return self.words.findall(text.lower())
 
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; NONE where there is no merge."""
+        pair = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], NONE)
+
     def rounds(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -113,49 +131,108 @@ class WordBPE:
         sym = self.inner[flat]
         sym[ends - 1] = self.final[flat[ends - 1]]
         word = np.repeat(np.arange(len(words)), size)
+        rank = np.full(len(sym), NONE, np.int32)
+        rank[:-1] = self.find(sym[:-1], sym[1:])
+        rank[ends - 1] = NONE
         done_sym, done_word = [], []
-        while len(sym):
-            rank = np.full(len(sym), NONE, np.int32)
-            pair = sym[:-1].astype(np.int64) << 20 | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            same = (self.keys[at] == pair) & (word[:-1] == word[1:])
-            rank[:-1][same] = self.ranks[at[same]]
+        for _ in range(LATE):
+            if not len(sym):
+                break
             heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lowest = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.r_[heads, len(sym)]))
             live = lowest != NONE
-            if not live.all():
-                done_sym.append(sym[~live])
-                done_word.append(word[~live])
-            hit = np.flatnonzero((rank == lowest) & live)
-            if not len(hit):
-                break
-            # in a run of hits (a pair of equal symbols) every other one merges
-            fresh = np.r_[True, np.diff(hit) != 1]
-            run = np.arange(len(hit)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            hit = hit[run % 2 == 0]
-            sym = sym.copy()
-            sym[hit] = self.merged[at[hit]]
+            done_sym.append(sym[~live])
+            done_word.append(word[~live])
+            hit = self.alternate(np.flatnonzero((rank == lowest) & live), 1)
+            sym[hit] = self.merged[rank[hit]]
             live[hit + 1] = False
-            sym, word = sym[live], word[live]
+            place = (np.cumsum(live) - 1)[hit]
+            sym, word, rank = sym[live], word[live], rank[live]
+            # the merged symbol has a new pair with either neighbour
+            place = np.unique(np.r_[place, place[place > 0] - 1])
+            inner = place[place + 1 < len(sym)]
+            rank[place] = NONE
+            inner = inner[word[inner] == word[inner + 1]]
+            rank[inner] = self.find(sym[inner], sym[inner + 1])
+        if len(sym):
+            sym, word = self.late(sym, word, rank)
+            done_sym.append(sym)
+            done_word.append(word)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         ids = sym[order].astype("<u4").tobytes()
         cut = np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))] * 4
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
-    def encode_batch(self, rows: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [self.pieces(t) for t in rows]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {w for ws in split for w in ws}
-        for s, i in self.specials.items():
-            self.known[s] = i.to_bytes(4, "little")
-            new.discard(s)
+    @staticmethod
+    def alternate(hit: np.ndarray, after: np.ndarray | int) -> np.ndarray:
+        """Hits that merge: in a run of them (a pair of equal symbols) every other one.
+
+        ``after`` is the place next to each hit, or the distance to it.
+        """
+        if not len(hit):
+            return hit
+        after = hit + after if isinstance(after, int) else after
+        fresh = np.r_[True, hit[1:] != after[:-1]]
+        run = np.arange(len(hit)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        return hit[run % 2 == 0]
+
+    def late(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words after all merges, one rank of all words a round.
+
+        Neighbours are linked, so a merge moves nothing; places wait by rank.
+        """
+        n = len(sym)
+        edge = np.r_[word[1:] != word[:-1], True]
+        after = np.where(edge, n, np.arange(1, n + 1))
+        before = np.where(np.r_[True, edge[:-1]], n, np.arange(-1, n - 1))
+        after, before, sym = np.r_[after, n], np.r_[before, n], np.r_[sym, -1]
+        alive = np.ones(n, bool)
+        rank = np.r_[rank, NONE]
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            if not len(at):
+                return
+            by = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.r_[True, np.diff(rank[by]) != 0])
+            for r, part in zip(rank[by[cut]].tolist(), np.split(by, cut[1:]), strict=True):
+                if r in waiting:
+                    waiting[r].append(part)
+                else:
+                    waiting[r] = [part]
+                    heapq.heappush(ranks, r)
+
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            hit = np.unique(np.concatenate(waiting.pop(r)))
+            hit = hit[rank[hit] == r]  # symbols that merged since have another rank
+            hit = self.alternate(hit, after[hit])
+            if not len(hit):
+                continue
+            gone = after[hit]
+            sym[hit] = self.merged[r]
+            alive[gone] = False
+            rank[gone] = NONE
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            before[n] = n
+            changed = np.unique(np.r_[hit, before[hit]])
+            changed = changed[changed < n]
+            rank[changed] = NONE
+            inner = changed[after[changed] < n]
+            rank[inner] = self.find(sym[inner], sym[after[inner]])
+            wait(inner)
+        return sym[:n][alive], word[alive]
+
+    def encode_words(self, words: set[str]) -> None:
+        """Remember the ids of new words."""
         block: list[str] = []
         size = 0
-        for w in sorted(new):
+        for w in sorted(words):
             block.append(w)
             size += 4 * len(w)
             if size > ROUND_BYTES:
@@ -163,13 +240,30 @@ class WordBPE:
                 block, size = [], 0
         if block:
             self.known.update(zip(block, self.rounds(block), strict=True))
+
+    def encode_batch(self, rows: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        split = [self.pieces(t) for t in rows]
         known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        known.update({s.encode(): i.to_bytes(4, "little") for s, i in self.specials.items()})
+        wanted: set[str | bytes] = set()
+        for ws in split:
+            wanted.update(ws)
+        fresh = wanted.difference(known)
+        if len(known) + len(fresh) > CACHE_WORDS:
+            fresh = {w for w in wanted if isinstance(w, str)}
+            known.clear()
+            known.update({s.encode(): i.to_bytes(4, "little") for s, i in self.specials.items()})
+        self.encode_words(fresh)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in fresh:
+            if len(w) > CACHE_LETTERS:  # of any length, and not to be met again
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined by spaces: what the library does for a file without a decoder."""
-        strings = self.strings
-        return " ".join([strings[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def model(path: str) -> WordBPE:
