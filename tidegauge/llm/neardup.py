@@ -11,9 +11,9 @@ Sets, not documents, are joined; copies stay in their task's row until the end.
 Within a bucket no pairs are emitted: members are first linked to the smallest
 member they share most buckets with, verified on full sets, and grouped. Buckets
 that still hold several groups are searched through in cells of bounded size: a
-cell holds two blocks of nodes that meet in a bucket, first with signatures only,
-then with the texts of those nodes that have a partner of another group within
-the distance. Links come out, never pairs.
+cell holds some nodes and those that meet them in a bucket, first with signatures
+only, then with the texts of those nodes that have a partner of another group
+within the distance. Links come out, never pairs.
 
 Full sets are compared as 64-bit hashes of word shingles.
 """
@@ -38,7 +38,7 @@ WIDTH = SYMBOLS // CHUNKS
 THRESHOLD = 2 * CHUNKS - 1  # beyond it every chunk may have two errors
 NUMERATOR, DENOMINATOR = 75, 100
 FLUSH_SETS, FLUSH_IDS = 20_000, 1_000_000  # what a task gathers before it emits
-CELL_SETS, CELL_SHINGLES = 512, 500_000  # sets of a block, and their shingles
+CELL_SETS, CELL_SHINGLES = 512, 500_000  # sets of a cell on either side, and shingles of those that it holds
 BROADCAST_ROWS = 500_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -223,26 +223,31 @@ def first_cells(inner: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def open_cells(nodes: DataFrame, inner: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
-    """Cells of two blocks of nodes that meet in a bucket of several groups.
+    """Cells of nodes that meet in a bucket of several groups.
 
-    ``groups`` (node, root) names the group of a node; others are on their own. A
-    node's block is a part of its largest such bucket, so that nodes which meet
-    are in few blocks; a node has a row for each block that it meets.
+    ``groups`` (node, root) names the group of a node; others are on their own. The
+    smallest group of a node's largest such bucket is its home, so that nodes which
+    meet have few homes. A node is sent to each home that it meets and that is no
+    smaller than its own (role 1), past the nodes at home there (role 0), in cells
+    of up to about CELL_SETS of either.
     """
     members = inner.select("key", "node").union(heads.select("key", "node"))
     known = members.join(maybe_broadcast(groups, BROADCAST_ROWS), "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    opened = known.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("c")).filter("low < high").select("key", "c")
-    met = stored(known.join(maybe_broadcast(stored(opened, "mih-open"), BROADCAST_ROWS), "key").select("key", "c", "node"), "mih-met")
-    home = met.groupBy("node").agg(F.max(F.struct("c", "key")).alias("h")).select("node", F.col("h.key").alias("home")).join(nodes.select("node", "n"), "node")
+    opened = known.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("c")).filter("low < high").select("key", "c", "low")
+    met = stored(known.join(maybe_broadcast(stored(opened, "mih-open"), BROADCAST_ROWS), "key").select("key", "c", "low", "node"), "mih-met")
+    home = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("low")).alias("low"))).alias("h")).select("node", (-F.col("h.low")).alias("home")).join(nodes.select("node", "n"), "node")
     home = stored(home, "mih-home")
-    parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_SHINGLES)).cast("long").alias("parts"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
-    located = home.join(parts, "home").select("node", block.alias("block"))
-    placed = stored(met.join(located, "node").select("key", "node", "block"), "mih-placed")
-    others = placed.select("key", F.col("block").alias("other")).distinct()
-    hits = placed.join(others, "key").select("node", "block", "other").distinct()
-    role = F.when(F.col("block") < F.col("other"), F.array(F.lit(0))).when(F.col("block") > F.col("other"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return hits.select(F.least("block", "other").alias("cx"), F.greatest("block", "other").alias("cy"), F.explode(role).alias("role"), "node")
+    sizes = home.groupBy("home").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_SHINGLES)).cast("long").alias("parts"))
+    placed = stored(met.select("key", "node").join(home.select("node", "home").join(sizes, "home"), "node"), "mih-placed")
+    others = placed.select("key", F.struct("size", "home").alias("other"), "parts").distinct()
+    hits = placed.drop("parts").join(others, "key").filter(F.col("other") >= F.struct("size", "home")).select("node", F.col("other.home").alias("home"), "parts").distinct()
+    hits = stored(hits, "mih-hits")
+    shares = hits.groupBy("home", "parts").agg(F.ceil(F.count("*") / CELL_SETS).cast("long").alias("shares"))
+    spot = F.xxhash64("node")
+    every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    held = home.select("node", "home").join(shares, "home").select("node", "home", "shares", F.pmod(spot, F.col("parts")).alias("part"), F.explode(every("shares")).alias("share"), F.lit(0).alias("role"))
+    sent = hits.join(shares.drop("parts"), "home").select("node", "home", "shares", F.explode(every("parts")).alias("part"), F.pmod(spot, F.col("shares")).alias("share"), F.lit(1).alias("role"))
+    return held.union(sent).select(F.col("home").alias("cx"), (F.col("part") * F.col("shares") + F.col("share")).alias("cy"), "role", "node")
 
 
 def near_cells(cells: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -432,7 +437,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     runs of bytes other than ASCII white space, A-Z lower-cased. Null and empty
     texts, and texts without words, have the empty set and stand alone; texts of
     fewer than five words have one shingle. Texts may have any length: a task holds
-    one text, and two blocks' sets of CELL_SHINGLES shingles or one set more.
+    one text, and a cell's sets of about CELL_SHINGLES shingles or one set more.
 
     Links are between texts, so rows that share a doc_id but not their text are
     documents of their own, which may be in different components. Rows without a
