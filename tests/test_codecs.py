@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegauge.codecs import shape, size, transforms
+from tidegauge.codecs import bitstream, shape, size, transforms
 from tidegauge.functions import domain
+from tidegauge.operators import similarity, window
 
 floats = st.lists(st.floats(-1000, 1000, allow_nan=False).map(lambda v: round(v, 2)), min_size=1, max_size=60)
 
@@ -119,3 +120,59 @@ def test_positions_and_totals(spark):
     df = spark.range(300).select(((F.col("id") * 37) % 300).alias("k"), F.lit(2).alias("v"))
     assert all(r.k == r.at for r in numbered(df, ["k"], "at").collect())
     assert all(r.before == 2 * (299 - r.k) for r in running_total(df, F.desc("k"), "v", "before").collect())
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False), st.sampled_from([0.0, 1.0, 1.5, -2.0])), max_size=40))
+def test_streams_round_trip(values):
+    x = np.array(values)
+    raw = bitstream.xor_encode(x)
+    assert np.array_equal(bitstream.xor_decode(raw), x)
+    assert len(raw) - 4 == size.gorilla(x)
+    for name in ("snappy", "gzip", "zlib", "deflate"):
+        assert np.array_equal(bitstream.byte_round_trip(x, name), x)
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.integers(-(2**40), 2**40), max_size=40))
+def test_packed_codes_round_trip(values):
+    c = np.array(values, np.int64)
+    assert np.array_equal(bitstream.frame_decode(bitstream.frame_encode(c), len(c)), c)
+    assert np.array_equal(bitstream.delta_decode(bitstream.delta_encode(c), len(c)), c)
+    assert len(bitstream.frame_encode(c)) == size.bit_packed(c)
+    assert len(bitstream.delta_encode(c)) == size.delta_packed(c)
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20))
+def test_zero_bits(words):
+    lead, trail = window.zero_bits(np.array(words, np.uint64))
+    assert lead.tolist() == [64 - w.bit_length() for w in words]
+    assert trail.tolist() == [(w & -w).bit_length() - 1 if w else 64 for w in words]
+
+
+def test_mantissas_go_on_across_batches(spark):
+    """Small Arrow batches cut a series like one array."""
+    r = np.random.default_rng(4)
+    rows = [(i, i % 3, float(v)) for i, v in enumerate(r.uniform(-50, 50, 900))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {x.idx: x.value for x in domain.mantissa_truncated(spark.createDataFrame(rows, "idx long, signal_id long, value double").repartition(4), "value", "idx", ["signal_id"], 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in range(3):
+        part = [(i, v) for i, k, v in rows if k == s]
+        assert [got[i] for i, _ in part] == domain.truncate_mantissa(np.array([v for _, v in part]), 2).tolist()
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(1, 12), st.integers(1, 12), st.integers(1, 4), st.integers(0, 1000))
+def test_near_pairs_are_exact(n, m, k, seed):
+    r = np.random.default_rng(seed)
+    x, y = r.integers(-3, 4, (n, 5)) * 1e3 + r.normal(size=(n, 5)), r.integers(-3, 4, (m, 5)) * 1e3 + r.normal(size=(m, 5))
+    d = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    top = min(k, m)
+    i, j, got = similarity.near(x, y, lambda rough: np.partition(rough, top - 1, axis=1)[:, top - 1 : top])
+    assert np.allclose(got, d[i, j], rtol=1e-12)
+    pairs = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert all((a, int(b)) in pairs for a in range(n) for b in np.argsort(d[a], kind="stable")[:top])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domain import Ceil, Domain, Fixed, Raw, precision_of
 from ..operators.aggregate import top_rows
-from ..operators.filters import equal_filter, materialize, range_filter
+from ..operators.filters import compare, materialize
 from . import size
 from .transforms import Codec, Fourier, LeadingFourier, Paa, Pla, reconstruct
 
@@ -101,14 +101,14 @@ def encode(points: DataFrame, name: str, scale: int, segment: int = 10_000, valu
 
 
 def answers(points: DataFrame, domain: Domain, pred: float, value: str = "value") -> DataFrame:
-    """What the operators answer in a domain, as one row."""
+    """What the operators answer in a domain, as one row, from two scans."""
     v: Column = F.col(value)
-    rows = materialize(points.select(v), domain, value)
-    top = top_rows(rows, value).agg(F.max(value).alias("max"), F.count("*").alias("max_rows"))
-    out = points.agg(F.count("*").alias("n")).join(rows.agg(F.sum(value).alias("sum"))).join(top)
-    above = range_filter(points, pred, domain, value).agg(F.count("*").alias("above"))
-    equal = equal_filter(points, pred, domain, value).agg(F.count("*").alias("equal"))
-    return out.join(above).join(equal)
+    out = points.agg(
+        F.count("*").alias("n"), F.sum(domain.decode(v)).alias("sum"), F.max(domain.decode(v)).alias("max"),
+        F.count_if(compare(v, ">", pred, domain)).alias("above"), F.count_if(compare(v, "=", pred, domain)).alias("equal"),
+    )
+    top = top_rows(materialize(points.select(v), domain, value), value).agg(F.count("*").alias("max_rows"))
+    return out.join(F.broadcast(top))
 
 
 def profile(points: DataFrame, names: list[str], scale: int, pred: float, segment: int = 10_000) -> DataFrame:

@@ -72,6 +72,10 @@ class Fourier:
 class LeadingFourier(Fourier):
     """Zeroes the coefficients from floor(ratio * n) to its mirror image."""
 
+    def __init__(self, ratio: float):
+        super().__init__(ratio)
+        self.name = "leading"
+
     def kept(self, n: int) -> int:
         return int(self.ratio * n)
 

@@ -7,10 +7,11 @@ compared in the codes, and a decoded value. All are column expressions.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,12 +124,17 @@ def signed_code(x: Column, scale: float) -> Column:
 
 
 def truncate_mantissa(values: np.ndarray, precision: int) -> np.ndarray:
-    """Values with low mantissa bits cut while the error stays below the bound.
+    """Values with low mantissa bits cut while the error stays below the bound."""
+    return cut_mantissas(values, precision, 0)[0]
+
+
+def cut_mantissas(values: np.ndarray, precision: int, at: int) -> tuple[np.ndarray, int]:
+    """The same from bit ``at`` on, and where the last value's cut ended.
 
     The cut starts where the value before it ended, so order matters. At a cut
     the lowest kept bit is set.
     """
-    bound, at = precision_bound(precision), 0
+    bound = precision_bound(precision)
     bits = np.asarray(values, np.float64).view(np.uint64)
     out = np.empty(len(bits), np.uint64)
     full = (1 << 64) - 1
@@ -157,14 +163,28 @@ def truncate_mantissa(values: np.ndarray, precision: int) -> np.ndarray:
                     best = nearer
                     break
         out[i] = best
-    return out.view(np.float64)
+    return out.view(np.float64), at
 
 
 def mantissa_truncated(df, value: str, order: str, by: list[str], precision: int):
-    """``value`` after mantissa truncation, series by series in order."""
+    """``value`` after mantissa truncation, series by series in order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{value: truncate_mantissa(pdf[value].to_numpy(), precision)})
+    A series is cut in sequence by one task, in Arrow batches: it is not held whole.
+    """
 
-    return df.groupBy(*by).applyInPandas(run, df.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True))
+            x, out = b.column(value).to_numpy(zero_copy_only=False).astype(float), []
+            cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if keys[lo] != last:
+                    last, at = keys[lo], 0
+                part, at = cut_mantissas(x[lo:hi], precision, at)
+                out.append(part)
+            yield b.set_column(b.schema.get_field_index(value), value, pa.array(np.concatenate(out)))
+
+    return df.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, df.schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +10,7 @@ from pyspark.sql import window as W
 from ..functions.scalar import squared_distance
 from ..operators.similarity import within
 from ..operators.topk import dense_index
-from ..session import shared_dir
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/dbscan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..session import kept
 
 
 def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -29,18 +20,19 @@ def linked(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     hooks each root below the smallest root next to its tree, and halves paths
     until trees are flat.
     """
-    tree = _kept(nodes.select("node", F.col("node").alias("root")))
+    tree = kept(nodes.select("node", F.col("node").alias("root")))
     while True:
         at = edges.join(tree.toDF("a", "ra"), "a").join(tree.toDF("b", "rb"), "b").filter("rb < ra")
-        hooks = _kept(at.groupBy("ra").agg(F.min("rb").alias("up")))
+        hooks = kept(at.groupBy("ra").agg(F.min("rb").alias("up")))
         if hooks.isEmpty():
             return tree
         moved = True
         while moved:  # pointers double their reach
             above = hooks.toDF("up", "above")
-            step = _kept(hooks.join(above, "up", "left").select("ra", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
+            step = kept(hooks.join(above, "up", "left").select("ra", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
             moved, hooks = not step.filter("moved").isEmpty(), step.select("ra", "up")
-        tree = _kept(tree.join(hooks.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        tree = kept(tree.join(hooks.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+
 
 def kmeans(df: DataFrame, vector: str, k: int = 2, max_iter: int = 100, seed: int = 0) -> np.ndarray:
     """Centroids by Spark's k-means; k below 2 is an error."""
@@ -67,10 +59,10 @@ def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples:
     of links between cores, numbered by their smallest key. Another row belongs to
     the first cluster that has a core near it.
     """
-    near = _kept(within(df, df, eps, key, vector).select(F.col("query_id").alias("a"), F.col("train_id").alias("b")))
-    cores = _kept(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("node")))
+    near = kept(within(df, df, eps, key, vector).select(F.col("query_id").alias("a"), F.col("train_id").alias("b")))
+    cores = kept(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("node")))
     to_core = near.join(cores.toDF("b"), "b", "left_semi")
-    roots = linked(_kept(to_core.join(cores.toDF("a"), "a", "left_semi").filter("a <> b")), cores)
+    roots = linked(kept(to_core.join(cores.toDF("a"), "a", "left_semi").filter("a <> b")), cores)
     numbers = dense_index(roots, "root", "cluster").select(F.col("node").alias("b"), "cluster")
     best = to_core.join(numbers, "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
     # a core's own number is that of all cores near it

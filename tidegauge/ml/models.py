@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..operators.ranges import numbered
+from ..session import kept
 from .linear import assembled
 
-IFOREST_ROWS = 50_000
 
 
 def _labelled(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -57,7 +59,7 @@ def predictions(model, df: DataFrame, features: list[str]) -> DataFrame:
 
 # ------------------------------------------------------- isolation forest
 class IsolationForest:
-    """Trees of random cuts on a bounded sample; scores near 1 are outliers."""
+    """Trees of random cuts, each on a sample of its own; scores near 1 are outliers."""
 
     def __init__(self, trees: int = 10, sample: int = 10, seed: int = 0):
         self.count, self.sample, self.seed = trees, sample, seed
@@ -69,6 +71,12 @@ class IsolationForest:
         return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
     def fit(self, x: np.ndarray) -> IsolationForest:
+        rng = np.random.default_rng(self.seed)
+        n = min(self.sample, len(x))
+        return self.grown([x[rng.choice(len(x), n, replace=False)] for _ in range(self.count)])
+
+    def grown(self, samples: list[np.ndarray]) -> IsolationForest:
+        """A tree for each sample."""
         rng = np.random.default_rng(self.seed)
         limit = int(np.ceil(np.log2(max(2, self.sample))))
 
@@ -82,9 +90,8 @@ class IsolationForest:
             left = rows[:, j] < cut
             return j, cut, grow(rows[left], depth + 1) if left.any() else depth + 1, grow(rows[~left], depth + 1) if (~left).any() else depth + 1
 
-        n = min(self.sample, len(x))
-        self.trees = [grow(x[rng.choice(len(x), n, replace=False)], 0) for _ in range(self.count)]
-        self.norm = max(self.path(n), 1e-9)
+        self.trees = [grow(x, 0) for x in samples if len(x)]
+        self.norm = max(self.path(max(map(len, samples), default=0)), 1e-9)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -103,8 +110,34 @@ class IsolationForest:
 
 
 def isolation_forest(df: DataFrame, vector: str, trees: int = 10, sample: int = 10, seed: int = 0) -> IsolationForest:
-    rows = df.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(vector)).limit(IFOREST_ROWS).collect()
-    return IsolationForest(trees, sample, seed).fit(np.array([r["v"] for r in rows]))
+    """Each tree has its own sample of all rows: those of least hash under its number.
+
+    A task keeps the least of its rows for each tree, so trees x sample rows a task
+    meet, and as many in all reach the driver.
+    """
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64)
+            parts = [] if best is None else [best]
+            with np.errstate(over="ignore"):
+                for t in range(trees):
+                    order = (h ^ np.uint64(t + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    order = ((order ^ (order >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+                    at = np.argsort(order, kind="stable")[:sample]
+                    parts.append(pa.table({"tree": np.full(len(at), t, np.int32), "o": order[at], "v": b.column("v").take(pa.array(at))}))
+            every = pa.concat_tables(parts).sort_by([("tree", "ascending"), ("o", "ascending")])
+            tree = every.column("tree").to_numpy()
+            rank = np.arange(len(tree)) - np.searchsorted(tree, tree)
+            best = every.filter(pa.array(rank < sample))
+        if best is not None:
+            yield from best.to_batches()
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).withColumn("h", F.xxhash64("v", F.lit(seed))).mapInArrow(least, "tree int, o long, v array<double>")
+    rank = F.row_number().over(W.Window.partitionBy("tree").orderBy("o"))
+    got = rows.withColumn("r", rank).filter(F.col("r") <= sample).orderBy("tree", "r").collect()
+    return IsolationForest(trees, sample, seed).grown([np.array([r["v"] for r in got if r["tree"] == t]) for t in range(trees)])
 
 
 def outlier_scores(df: DataFrame, vector: str, forest: IsolationForest, out: str = "score") -> DataFrame:
@@ -121,10 +154,10 @@ def outlier_scores(df: DataFrame, vector: str, forest: IsolationForest, out: str
 # --------------------------------------------------------------- selection
 def train_test_split(df: DataFrame, key: str, test_size: float, seed: int | None = 0) -> tuple[DataFrame, DataFrame]:
     """Exactly floor(n * test_size) rows of a seeded (or of the key's) order are test."""
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)] if seed is not None else [F.col(key)]
+    rows = df.withColumn("_o", F.xxhash64(F.col(key), F.lit(seed)) if seed is not None else F.lit(0))
     n = int(df.count() * test_size)
-    test = df.select(key).orderBy(*order).limit(n)
-    return df.join(test, key, "left_anti"), df.join(test, key, "left_semi")
+    rows = numbered(rows, ["_o", key], "_i")
+    return rows.filter(F.col("_i") >= n).drop("_i", "_o"), rows.filter(F.col("_i") < n).drop("_i", "_o")
 
 
 def folds(df: DataFrame, key: str, k: int = 3, seed: int | None = None) -> DataFrame:
@@ -143,19 +176,18 @@ def folds(df: DataFrame, key: str, k: int = 3, seed: int | None = None) -> DataF
 
 def cross_validate(df: DataFrame, key: str, fit: Callable, predict: Callable, score: Callable, k: int = 3, seed: int | None = None) -> list[tuple[float, float]]:
     """(train, test) scores of each fold; ``predict`` adds a column ``score`` reads."""
-    rows = folds(df, key, k, seed).cache()
+    rows = kept(folds(df, key, k, seed))
     out = []
     for i in range(k):
         train, test = rows.filter(F.col("fold") != i), rows.filter(F.col("fold") == i)
         model = fit(train)
         out.append((score(predict(model, train)), score(predict(model, test))))
-    rows.unpersist()
     return out
 
 
 def cross_predictions(df: DataFrame, key: str, fit: Callable, predict: Callable, k: int = 3, seed: int | None = None) -> DataFrame:
     """Every row with the prediction of the model that did not see its fold."""
-    rows = folds(df, key, k, seed).cache()
+    rows = kept(folds(df, key, k, seed))
     parts = [predict(fit(rows.filter(F.col("fold") != i)), rows.filter(F.col("fold") == i)) for i in range(k)]
     out = parts[0]
     for p in parts[1:]:

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..session import kept
+
 BEFORE = (W.Window.unboundedPreceding, -1)
 
 
 def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    # kept, because range bounds are sampled: both uses must see the same ranges
-    return df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).cache()
+    # written, because range bounds are sampled: both uses must see the same ranges,
+    # also after an executor is lost
+    return kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running_total(df: DataFrame, order: str | Column | list[str | Column], value: str, out: str) -> DataFrame:

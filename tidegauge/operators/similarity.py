@@ -2,7 +2,7 @@
 
 The smaller side of every cell is a block of bounded rows; each block of queries
 meets each block of training rows in one task, and only the k best of a cell go
-on. Distances are taken in numpy, block against block.
+on. Distances are taken by matrix products, and exactly for the pairs that matter.
 """
 
 from __future__ import annotations
@@ -27,12 +27,21 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str) -> tuple[DataFrame,
     return out.select(f"{name}_block", F.col("r.k").alias(f"{name}_keys"), F.flatten("r.v").alias(f"{name}_data")), blocks
 
 
-def distances(queries: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances without cancellation, a query at a time."""
-    return np.stack([((train - q) ** 2).sum(axis=1) for q in queries]) if len(queries) else np.zeros((0, len(train)))
+def near(queries: np.ndarray, train: np.ndarray, limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of least distance, with their exact squared distances.
+
+    One product gives all distances up to its rounding; ``limit`` turns them into
+    the greatest that matters (by row or for all), and pairs up to that and the
+    rounding are taken again without cancellation.
+    """
+    a, b = (queries * queries).sum(axis=1), (train * train).sum(axis=1)
+    rough = a[:, None] + b[None] - 2 * (queries @ train.T)
+    slack = 1e-11 * (a.max(initial=0) + b.max(initial=0) + 1) * queries.shape[1]
+    i, j = np.nonzero(rough <= limit(rough) + slack)
+    return i, j, ((queries[i] - train[j]) ** 2).sum(axis=1)
 
 
-def _cells(queries: DataFrame, train: DataFrame, pick, key: str, vector: str) -> DataFrame:
+def _cells(queries: DataFrame, train: DataFrame, limit, pick, key: str, vector: str) -> DataFrame:
     (q, _), (t, blocks) = _blocks(queries, key, vector, "q"), _blocks(train, key, vector, "t")
     # a cell for each pair of blocks: block counts, not rows, are multiplied
     cells = q.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(t, "t_block")
@@ -42,10 +51,10 @@ def _cells(queries: DataFrame, train: DataFrame, pick, key: str, vector: str) ->
             for r in pdf.itertuples():
                 a, b = np.asarray(r.q_keys), np.asarray(r.t_keys)
                 x, y = np.asarray(r.q_data).reshape(len(a), -1), np.asarray(r.t_data).reshape(len(b), -1)
-                for at in range(0, len(a), 64):
-                    d = distances(x[at : at + 64], y)
-                    i, j = pick(d, b)
-                    yield pd.DataFrame({"query_id": a[at : at + 64][i], "train_id": b[j], "distance": np.sqrt(d[i, j])})
+                for at in range(0, len(a), 256):
+                    i, j, d = near(x[at : at + 256], y, limit)
+                    i, j, d = pick(i, j, d, b)
+                    yield pd.DataFrame({"query_id": a[at : at + 256][i], "train_id": b[j], "distance": np.sqrt(d)})
 
     return cells.select("q_keys", "q_data", "t_keys", "t_data").mapInPandas(run, "query_id long, train_id long, distance double")
 
@@ -55,18 +64,27 @@ def k_nearest(queries: DataFrame, train: DataFrame, k: int, key: str = "id", vec
     if k < 1:
         raise ValueError("k must be at least 1")
 
-    def pick(d: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :k]
-        return np.repeat(np.arange(len(d)), order.shape[1]), order.ravel()
+    def kth(rough: np.ndarray) -> np.ndarray:
+        return np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < rough.shape[1] else np.full((len(rough), 1), np.inf)
 
-    found = _cells(queries, train, pick, key, vector)
+    def pick(i: np.ndarray, j: np.ndarray, d: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        by = np.lexsort((keys[j], d, i))
+        i, j, d = i[by], j[by], d[by]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[best], j[best], d[best]
+
+    found = _cells(queries, train, kth, pick, key, vector)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "train_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def within(queries: DataFrame, train: DataFrame, radius: float, key: str = "id", vector: str = "vector") -> DataFrame:
     """Pairs at most ``radius`` apart."""
-    return _cells(queries, train, lambda d, keys: np.nonzero(np.sqrt(d) <= radius), key, vector)
+    def pick(i: np.ndarray, j: np.ndarray, d: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        good = np.sqrt(d) <= radius
+        return i[good], j[good], d[good]
+
+    return _cells(queries, train, lambda rough: radius * radius, pick, key, vector)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:

@@ -25,6 +25,16 @@ def argsort(a: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda s: s["i"])
 
 
+def argsorted(df: DataFrame, group: str, by: str, order: str) -> DataFrame:
+    """(group, rank, position): the position of each group's rows in order of a value.
+
+    The same as ``argsort``, with a row for each element, so no group is held whole.
+    """
+    rows = df.withColumn("position", (F.row_number().over(W.Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+    rank = F.row_number().over(W.Window.partitionBy(group).orderBy(by, "position")) - 1
+    return rows.select(group, rank.cast("long").alias("rank"), "position")
+
+
 def dense_index(df: DataFrame, value: str, out: str = "index") -> DataFrame:
     """Zero-based rank of each value among the distinct ones.
 

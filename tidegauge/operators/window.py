@@ -6,6 +6,11 @@ instead, so that no window gathers a whole column in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -14,9 +19,10 @@ from ..functions.scalar import zigzag
 from .ranges import numbered_per
 
 
-def count_window_max(points: DataFrame, start: int, end: int, size: int, value: str = "value", idx: str = "idx") -> DataFrame:
-    """Greatest value of each run of ``size`` positions in start <= idx < end."""
-    rows = points.filter((F.col(idx) >= start) & (F.col(idx) < end))
+def count_window_max(points: DataFrame, start: int, end: int | None, size: int, value: str = "value", idx: str = "idx") -> DataFrame:
+    """Greatest value of each run of ``size`` positions in start <= idx < end (None: to the last)."""
+    rows = points.filter(F.col(idx) >= start)
+    rows = rows if end is None else rows.filter(F.col(idx) < end)
     return rows.groupBy(F.floor((F.col(idx) - start) / size).cast("long").alias("window")).agg(F.max(value).alias("max"))
 
 
@@ -112,17 +118,34 @@ def context_prediction(points: DataFrame, code: str, level: int, by: str = "sign
 def bits_in_common(points: DataFrame, value: str = "value", by: str = "signal_id", order: str = "idx") -> DataFrame:
     """Leading and trailing zeros of each value's bits xor those of the value before.
 
-    Both are 64 where the value repeats; the first value of a signal has none.
+    Both are 64 where the value repeats; the first value of a signal has none. Rows
+    stream through a task; none holds a signal.
     """
-    import numpy as np
-
-    def zeros(pdf):
-        pdf = pdf.sort_values(order)
-        bits = pdf[value].to_numpy(float).view(np.uint64)
-        x = bits[1:] ^ bits[:-1]
-        lead = [None, *(64 - int(v).bit_length() for v in x)]
-        trail = [None, *(64 if not v else (int(v) & -int(v)).bit_length() - 1 for v in x)]
-        return pdf.assign(leading=np.array(lead, dtype=object), trailing=np.array(trail, dtype=object))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", leading int, trailing int"
-    return points.groupBy(by).applyInPandas(zeros, schema)
+    before = fresh_name(points.columns, "before")
+
+    def zeros(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pair = [b.column(c).fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64).view(np.uint64) for c in (value, before)]
+            first = pc.is_null(b.column(before)).to_numpy(zero_copy_only=False)
+            found = [pa.array(n.astype(np.int32), mask=first) for n in zero_bits(pair[0] ^ pair[1])]
+            at = b.schema.get_field_index(before)
+            columns = [c for i, c in enumerate(b.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, *found], names=[n for n in b.schema.names if n != before] + ["leading", "trailing"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", leading int, trailing int"
+    return previous(points, value, order, by, before).mapInArrow(zeros, schema)
+
+
+def fresh_name(columns: list[str], name: str) -> str:
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
+def zero_bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading and trailing zeros of 64-bit words; 64 where there is no bit."""
+    width = lambda v: np.frexp(v.astype(np.float64))[1]  # noqa: E731  exact for 32 bits
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    bits = lambda v: np.where(v >> half, 32 + width(v >> half), width(v & low))
+    last = x & (~x + np.uint64(1))
+    return 64 - bits(x), np.where(x == 0, 64, bits(last) - 1)

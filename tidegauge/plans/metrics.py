@@ -94,7 +94,11 @@ def gnb_params(spark, d):
     return out.select("kind", "n", *[(F.round(c, 4) if c.startswith("sigma") else r6(c)).alias(c) for c in out.columns if c not in ("kind", "n")])
 
 
-@query("gnb_predict")
+CLASSES = "SELECT {by}kind AS c, count(*) AS n, avg(value) AS m1, var_pop(value) AS v1, avg(signal_id) AS m2, var_pop(signal_id) AS v2 FROM {rows} GROUP BY ALL"
+LIKELY = "ln(k.n * 1.0::DOUBLE / {total}) - (e.value - k.m1) ** 2 / (2 * k.v1) - ln(2 * pi()) / 2 - ln(k.v1) / 2 - (e.signal_id - k.m2) ** 2 / (2 * k.v2) - ln(2 * pi()) / 2 - ln(k.v2) / 2"
+
+
+@query("gnb_predict", f"WITH k AS ({CLASSES.format(by='', rows=P)}), s AS (SELECT e.idx, e.kind, k.c, {LIKELY.format(total='(SELECT sum(n) FROM k)')} AS s FROM {P.removesuffix(' p')} e, k) SELECT idx, kind, c AS pred FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY s DESC, c) AS r FROM s) WHERE r = 1")
 def gnb_predict(spark, d):
     p = points(spark, d)
     return bayes.gaussian(p, "kind", ["value", "signal_id"]).predict(p).select("idx", "kind", "pred")
@@ -133,6 +137,33 @@ def linear_regression(spark, d):
     return spark.createDataFrame([(round(float(fit.coefficients[0]), 6), round(fit.intercept, 6))], "slope double, intercept double")
 
 
+# centred sums of two features and the target; the standardised Gram matrix has n on its diagonal
+SUMS = f"m AS (SELECT count(*) AS n, avg(score) AS ma, avg(signal_id) AS mb, avg(value) AS my FROM {L}), c AS (SELECT any_value(n) AS n, any_value(ma) AS ma, any_value(mb) AS mb, any_value(my) AS my, sum((score - ma) ** 2) AS aa, sum((signal_id - mb) ** 2) AS bb, sum((score - ma) * (signal_id - mb)) AS ab, sum((score - ma) * (value - my)) AS ay, sum((signal_id - mb) * (value - my)) AS byy FROM {L}, m)"
+
+
+@query(
+    "ridge",
+    f"WITH {SUMS}, z AS (SELECT *, sqrt(aa / n) AS sa, sqrt(bb / n) AS sb FROM c), g AS (SELECT *, n + 1.0 AS d, ab / (sa * sb) AS o, ay / sa AS p, byy / sb AS q FROM z), w AS (SELECT *, (p * d - q * o) / (d * d - o * o) / sa AS wa, (q * d - p * o) / (d * d - o * o) / sb AS wb FROM g) SELECT round(wa, 6) AS score, round(wb, 6) AS signal_id, round(my - ma * wa - mb * wb, 4) AS intercept FROM w",
+)
+def ridge(spark, d):
+    f = linear.ridge(labelled(spark, d), ["score", "signal_id"], "value")
+    return spark.createDataFrame([(round(float(f.coefficients[0]), 6), round(float(f.coefficients[1]), 6), round(f.intercept, 4))], "score double, signal_id double, intercept double")
+
+
+SOFT = "sign(p) * greatest(abs(p) - n * 0.1 * {l1}, 0) / (n + n * 0.1 * (1 - {l1})) / sa"
+
+
+@query(
+    "lasso_elastic_net",
+    f"WITH {SUMS}, z AS (SELECT *, sqrt(aa / n) AS sa, ay / sqrt(aa / n) AS p FROM c), w AS (SELECT 'lasso' AS model, {SOFT.format(l1='1.0')} AS w, ma, my FROM z UNION ALL SELECT 'elastic_net', {SOFT.format(l1='0.5')}, ma, my FROM z) SELECT model, round(w, 6) AS coefficient, round(my - ma * w, 4) AS intercept FROM w",
+)
+def lasso_elastic_net(spark, d):
+    """One feature: soft thresholding in closed form."""
+    rows = labelled(spark, d)
+    fits = {"lasso": linear.lasso(rows, ["score"], "value", 0.1), "elastic_net": linear.elastic_net(rows, ["score"], "value", 0.1)}
+    return spark.createDataFrame([(n, round(float(f.coefficients[0]), 6), round(f.intercept, 4)) for n, f in fits.items()], "model string, coefficient double, intercept double")
+
+
 @query("ridge_lasso")
 def ridge_lasso(spark, d):
     rows = labelled(spark, d)
@@ -146,25 +177,28 @@ def logistic_regression(spark, d):
     return models.predictions(linear.logistic(rows, ["score", "signal_id"], "truth"), rows, ["score", "signal_id"]).select("idx", F.col("prediction").cast("int").alias("pred"))
 
 
-def _dims(v, n):
-    return v.select("id", "label", *[F.col("vector")[i].cast("double").alias(f"x{i}") for i in range(n)])
+NAMES = [f"x{i}" for i in range(64)]
+
+
+def _dims(v, names=NAMES):
+    return v.select("id", "label", *[F.col("vector")[int(n[1:])].cast("double").alias(n) for n in names])
 
 
 @query("decision_tree")
 def decision_tree(spark, d):
-    rows, names = _dims(vectors(spark, d), 8), [f"x{i}" for i in range(8)]
+    rows, names = _dims(vectors(spark, d)), NAMES
     return models.predictions(models.tree_classifier(rows, names, "label", 8), rows, names).select("id", F.col("prediction").cast("int").alias("pred"))
 
 
 @query("random_forest")
 def random_forest(spark, d):
-    rows, names = _dims(vectors(spark, d), 8), [f"x{i}" for i in range(8)]
+    rows, names = _dims(vectors(spark, d)), NAMES
     return models.predictions(models.forest_classifier(rows, names, "label", 10, 6), rows, names).select("id", F.col("prediction").cast("int").alias("pred"))
 
 
 @query("linear_svc")
 def linear_svc(spark, d):
-    rows, names = _dims(vectors(spark, d).withColumn("label", (F.col("label") % 2)), 8), [f"x{i}" for i in range(8)]
+    rows, names = _dims(vectors(spark, d).withColumn("label", (F.col("label") % 2))), NAMES
     return models.predictions(models.linear_svc(rows, names, "label"), rows, names).select("id", F.col("prediction").cast("int").alias("pred"))
 
 
@@ -176,19 +210,51 @@ def kernel_svc(spark, d):
 
 @query("pca")
 def pca(spark, d):
-    names = [f"x{i}" for i in range(8)]
-    rows = _dims(vectors(spark, d), 8)
+    names = NAMES
+    rows = _dims(vectors(spark, d))
     mom = linear.moments(rows, names)
     return rows.select("id", linear.project(names, linear.pca(rows, names), mom.mean).alias("components"))
 
 
 @query("truncated_svd")
 def truncated_svd(spark, d):
-    names = [f"x{i}" for i in range(8)]
-    rows = _dims(vectors(spark, d), 8)
+    names = NAMES
+    rows = _dims(vectors(spark, d))
     return rows.select("id", linear.project(names, linear.truncated_svd(rows, names)[0]).alias("components"))
 
 
+# the leading eigenvector of a symmetric 2 x 2 matrix (p, q; q, r), its larger part positive
+PLANE = "SELECT *, (p + r) / 2 + sqrt(((p - r) / 2) ** 2 + q * q) AS top FROM {}"
+AXIS = "SELECT *, CASE WHEN abs(ux) >= abs(uy) THEN sign(ux) ELSE sign(uy) END / sqrt(ux * ux + uy * uy) AS k FROM (SELECT *, q AS ux, top - p AS uy FROM {})"
+XY = "(SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+
+
+@query(
+    "pca_plane",
+    f"WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS p, covar_samp(x, y) AS q, var_samp(y) AS r FROM {XY}), a AS ({PLANE.format('m')}), b AS ({AXIS.format('a')}) SELECT id, round((x - mx) * ux * k + (y - my) * uy * k, 6) AS component FROM {XY} d, b",
+)
+def pca_plane(spark, d):
+    """The leading component of two columns, which has a closed form."""
+    rows, names = _dims(vectors(spark, d)), NAMES[:2]
+    return rows.select("id", F.round(linear.project(names, linear.pca(rows, names, 1), linear.moments(rows, names).mean)[0], 6).alias("component"))
+
+
+@query(
+    "svd_plane",
+    f"WITH m AS (SELECT sum(x * x) AS p, sum(x * y) AS q, sum(y * y) AS r FROM {XY}), a AS ({PLANE.format('m')}), b AS ({AXIS.format('a')}) SELECT id, round(x * ux * k + y * uy * k, 6) AS component FROM {XY} d, b",
+)
+def svd_plane(spark, d):
+    rows, names = _dims(vectors(spark, d)), NAMES[:2]
+    return rows.select("id", F.round(linear.project(names, linear.truncated_svd(rows, names, 1)[0])[0], 6).alias("component"))
+
+
+@query("tree_stump", f"WITH v AS (SELECT CAST(score AS DOUBLE) AS x, count(*) AS n, sum(value) AS s FROM {L} GROUP BY 1), c AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER (ORDER BY x) AS ls, (SELECT sum(n) FROM v) AS n, (SELECT sum(s) FROM v) AS s FROM v), b AS (SELECT (x + nx) / 2 AS cut, ls / ln AS low, (s - ls) / (n - ln) AS high FROM c WHERE nx IS NOT NULL ORDER BY ls * ls / ln + (s - ls) ** 2 / (n - ln) DESC, x LIMIT 1) SELECT idx, round(CASE WHEN score <= cut THEN low ELSE high END, 6) AS pred FROM {L}, b")
+def tree_stump(spark, d):
+    """A regression tree of one split."""
+    rows = labelled(spark, d).withColumn("score", F.col("score").cast("double"))
+    return models.predictions(models.tree_regressor(rows, ["score"], "value", 1), rows, ["score"]).select("idx", r6("prediction").alias("pred"))
+
+
 @query("isolation_forest")
 def isolation_forest(spark, d):
     v = vectors(spark, d).select("id", F.transform("vector", lambda x: F.floor((x.cast("double") + 10) * 100000).cast("double")).alias("vector"))
@@ -206,7 +272,10 @@ def train_test_split(spark, d):
     return train.agg(F.count("*").alias("train")).join(F.broadcast(test.agg(F.count("*").alias("test"))))
 
 
-@query("cross_validation")
+FOLDS = f"f AS (SELECT *, CAST(ntile(3) OVER (ORDER BY idx) - 1 AS INTEGER) AS fold FROM {P})"
+
+
+@query("cross_validation", f"WITH {FOLDS}, o AS (SELECT g.x AS out, f.* FROM f, (SELECT unnest(range(3)) AS x) g WHERE f.fold <> g.x), k AS ({CLASSES.format(by='out, ', rows='o')}), s AS (SELECT e.idx, e.fold, k.c, {LIKELY.format(total='(SELECT sum(n) FROM k k2 WHERE k2.out = e.fold)')} AS s FROM f e JOIN k ON k.out = e.fold) SELECT idx, fold, c AS pred FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY s DESC, c) AS r FROM s) WHERE r = 1")
 def cross_validation(spark, d):
     rows = points(spark, d).select("idx", "kind", "value", "signal_id")
     return models.cross_predictions(rows, "idx", lambda t: bayes.gaussian(t, "kind", ["value", "signal_id"]), lambda model, t: model.predict(t)).select("idx", "fold", "pred")

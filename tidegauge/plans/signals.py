@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.domain import Ceil, Fixed, Raw, signed_code, unsigned_code
-from ..functions.scalar import bit_width, split_bits, unzigzag, zigzag
+from ..functions.scalar import bit_width, bits_to_int, second_wins_max, second_wins_min, split_bits, unzigzag, zigzag
 from ..operators import aggregate, filters, joins, sets, stats_index, topk, window
 from .registry import points, query, r6
 
@@ -271,20 +271,20 @@ def range_index_wide(spark, d):
 
 
 # --------------------------------------------------------------------- windows
-@query("window_max_count", f"SELECT (idx - 1000) // 500 AS \"window\", max(value) AS max FROM {P} WHERE idx >= 1000 AND idx < 9000 GROUP BY 1")
+@query("window_max_count", f"SELECT idx // 500 AS \"window\", max(value) AS max FROM {P} GROUP BY 1")
 def window_max_count(spark, d):
-    return window.count_window_max(points(spark, d), 1000, 9000, 500)
+    return window.count_window_max(points(spark, d), 0, None, 500)
 
 
-@query("window_max_fixed", f"SELECT (idx - 500) // 240 AS \"window\", max(floor(value * 256) / 256) AS max FROM {P} WHERE idx >= 500 AND idx < 2900 GROUP BY 1")
+@query("window_max_fixed", f"SELECT (idx - 500) // 240 AS \"window\", max(floor(value * 256) / 256) AS max FROM {P} WHERE idx >= 500 GROUP BY 1")
 def window_max_fixed(spark, d):
-    return window.count_window_max(filters.materialize(points(spark, d), Fixed.of(2)), 500, 2900, 240)
+    return window.count_window_max(filters.materialize(points(spark, d), Fixed.of(2)), 500, None, 240)
 
 
-@query("window_max_price", "WITH o AS (SELECT o_orderkey AS idx, o_totalprice AS value FROM orders) SELECT idx // 1680 AS \"window\", max(value) AS max FROM o WHERE idx >= 0 AND idx < 14 * 1680 GROUP BY 1")
+@query("window_max_price", "WITH o AS (SELECT o_orderkey AS idx, o_totalprice AS value FROM orders) SELECT idx // 1680 AS \"window\", max(value) AS max FROM o GROUP BY 1")
 def window_max_price(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("value"))
-    return window.count_window_max(o, 0, 14 * 1680, 1680)
+    return window.count_window_max(o, 0, None, 1680)
 
 
 @query("paa_mean", f"SELECT idx // 8 AS chunk, round(avg(value), 6) AS mean FROM {P} GROUP BY 1")
@@ -380,7 +380,10 @@ def context_prediction(spark, d):
     return window.context_prediction(rows, "code", 2).select("idx", "code", "predicted", "residual")
 
 
-@query("xor_zeros")
+XOR = "xor(CAST(value AS BIT), CAST(prev AS BIT))::VARCHAR"
+
+
+@query("xor_zeros", f"WITH p AS (SELECT idx, signal_id, value, lag(value) OVER (PARTITION BY signal_id ORDER BY idx) AS prev FROM {P}), x AS (SELECT *, CASE WHEN prev IS NOT NULL THEN {XOR} END AS bits FROM p) SELECT idx, signal_id, value, CAST(CASE WHEN strpos(bits, '1') = 0 THEN 64 ELSE strpos(bits, '1') - 1 END AS INTEGER) AS leading, CAST(CASE WHEN strpos(bits, '1') = 0 THEN 64 ELSE strpos(reverse(bits), '1') - 1 END AS INTEGER) AS trailing FROM x")
 def xor_zeros(spark, d):
     return window.bits_in_common(points(spark, d).select("idx", "signal_id", "value"))
 
@@ -438,7 +441,32 @@ def unique_with_indices(spark, d):
     return topk.dense_index(points(spark, d).select("idx", "kind"), "kind").select("idx", "kind", "index")
 
 
-@query("argsort", "SELECT signal_id, list_transform(list_sort(list_transform(range(1, len(v) + 1), lambda i: {'x': v[i], 'i': i - 1})), lambda s: CAST(s.i AS INTEGER)) AS positions FROM (SELECT user_id AS signal_id, list(value ORDER BY event_id) AS v FROM events WHERE user_id < 20 GROUP BY 1)")
+@query("argsort", f"SELECT signal_id, row_number() OVER (PARTITION BY signal_id ORDER BY value, position) - 1 AS rank, position FROM (SELECT signal_id, value, row_number() OVER (PARTITION BY signal_id ORDER BY idx) - 1 AS position FROM {P})")
 def argsort(spark, d):
-    rows = points(spark, d).filter("signal_id < 20").groupBy("signal_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("r"))
-    return rows.select("signal_id", topk.argsort(F.col("r.value")).alias("positions"))
+    return topk.argsorted(points(spark, d).select("signal_id", "idx", "value"), "signal_id", "value", "idx")
+
+
+@query("argsort_arrays", f"WITH r AS (SELECT idx // 100 AS node, idx, value, row_number() OVER (PARTITION BY idx // 100 ORDER BY idx) - 1 AS position FROM {P}) SELECT node, list(CAST(position AS INTEGER) ORDER BY value, position) AS positions FROM r GROUP BY 1")
+def argsort_arrays(spark, d):
+    """Positions of each segment of 100 points in order of their values."""
+    rows = points(spark, d).groupBy(F.floor(F.col("idx") / 100).alias("node")).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("r"))
+    return rows.select("node", topk.argsort(F.col("r.value")).alias("positions"))
+
+
+@query("set_contains", "SELECT v AS signal_id, v IN (SELECT user_id FROM events) AS found FROM (VALUES (CAST(7 AS BIGINT)), (CAST(-5 AS BIGINT))) t(v)")
+def set_contains(spark, d):
+    users = points(spark, d).select("signal_id")
+    return spark.createDataFrame([(v, sets.contains(users, "signal_id", v)) for v in (7, -5)], "signal_id long, found boolean")
+
+
+@query("extremes_second_wins", f"SELECT idx, CASE WHEN isnan(a) OR isnan(b) THEN b WHEN a > b THEN a ELSE b END AS greatest, CASE WHEN isnan(a) OR isnan(b) THEN b WHEN a < b THEN a ELSE b END AS least FROM (SELECT idx, CASE WHEN idx % 10 = 3 THEN 'nan'::DOUBLE ELSE value END AS a, CAST(signal_id AS DOUBLE) AS b FROM {P})")
+def extremes_second_wins(spark, d):
+    a = F.when(F.col("idx") % 10 == 3, F.lit(float("nan"))).otherwise(F.col("value"))
+    b = F.col("signal_id").cast("double")
+    return points(spark, d).select("idx", second_wins_max(a, b).alias("greatest"), second_wins_min(a, b).alias("least"))
+
+
+@query("bits_to_int", f"SELECT idx, idx AS number FROM {P}")
+def bits_to_number(spark, d):
+    """Numbers written as binary digits, least significant first, and read again."""
+    return points(spark, d).select("idx", bits_to_int(F.reverse(F.bin("idx"))).alias("number"))

@@ -123,12 +123,25 @@ def kmeans_fit(spark, d):
     return cluster.assign(v, "vector", cluster.kmeans(v, "vector", 10, seed=1)).select("id", "label", "cluster")
 
 
-@query("dbscan")
+EPS = 1.15
+
+
+def _dbscan_sql(where: str) -> str:
+    """Each gives f: id, cluster."""
+    return (
+        f"WITH RECURSIVE v AS (SELECT vec_id, embedding FROM embeddings WHERE {where}), near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON sqrt({D2}) <= {EPS}::DOUBLE), cores AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 5), "
+        "links AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM cores) AND b IN (SELECT a FROM cores)), reach AS (SELECT a AS node, a AS root FROM cores UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b), "
+        "roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1), flat AS (SELECT r.node, min(least(r.root, s.root)) AS root FROM roots r JOIN reach e ON e.node = r.node JOIN roots s ON s.node = e.root GROUP BY 1), "
+        "numbers AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM flat), f AS (SELECT vec_id AS id, CAST(coalesce(min(n.cluster), -1) AS INTEGER) AS cluster FROM v LEFT JOIN near ON near.a = vec_id LEFT JOIN numbers n ON n.node = near.b GROUP BY 1)"
+    )
+
+
+@query("dbscan", f"{_dbscan_sql('true')} SELECT id, cluster FROM f")
 def dbscan(spark, d):
-    return cluster.dbscan(vectors(spark, d), "id", "vector", eps=1.0, min_samples=5)
+    return cluster.dbscan(vectors(spark, d), "id", "vector", eps=EPS, min_samples=5)
 
 
-@query("dbscan_predict")
+@query("dbscan_predict", f"{_dbscan_sql('vec_id % 2 = 0')}, p AS (SELECT a.vec_id AS query_id, f.cluster, count(*) AS n FROM embeddings a JOIN v b ON sqrt({D2}) <= {EPS}::DOUBLE JOIN f ON f.id = b.vec_id WHERE a.vec_id % 2 = 1 GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, cluster) AS r FROM p) SELECT e.vec_id AS query_id, CAST(coalesce(w.cluster, -1) AS INTEGER) AS cluster FROM embeddings e LEFT JOIN w ON w.query_id = e.vec_id AND r = 1 WHERE e.vec_id % 2 = 1")
 def dbscan_predict(spark, d):
     q, t = _split(spark, d)
-    return cluster.dbscan_predict(q, t, cluster.dbscan(t, "id", "vector", eps=1.0), 1.0, "id", "vector")
+    return cluster.dbscan_predict(q, t, cluster.dbscan(t, "id", "vector", eps=EPS), EPS, "id", "vector")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -46,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidegauge/{spark.sparkContext.applicationId}"
 
 
+def kept(df: DataFrame, tag: str = "kept") -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, which need not have it installed.
 

@@ -68,14 +68,27 @@ def key_csv(spark: SparkSession, path: str, name: str = "tag_id") -> DataFrame:
     return spark.read.text(path).select(F.expr("try_cast(trim(value) AS bigint)").alias(name)).dropna()
 
 
+def uniform(at: Column, seed: int, stream: int = 0) -> Column:
+    """A number in [0, 1) for a position: 52 bits of an MD5, so it is the same however
+    rows are dealt, and after an executor is lost.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), at.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def normal(at: Column, seed: int, stream: int = 0) -> Column:
+    """A standard normal number for a position, by Box and Muller."""
+    return F.sqrt(F.lit(-2.0) * F.ln(1.0 - uniform(at, seed, 2 * stream))) * F.cos(uniform(at, seed, 2 * stream + 1) * (2 * np.pi))
+
+
 def normal_signal(spark: SparkSession, n: int, mean: float, std: float, seed: int) -> DataFrame:
     """Normal samples, through single precision."""
-    x = (F.randn(seed) * std + mean).cast("float").cast("double")
+    x = (normal(F.col("id"), seed) * std + mean).cast("float").cast("double")
     return spark.range(n).select(F.col("id").alias("idx"), x.alias("value"))
 
 
 def uniform_signal(spark: SparkSession, n: int, low: float, high: float, seed: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("idx"), (F.rand(seed) * (high - low) + low).alias("value"))
+    return spark.range(n).select(F.col("id").alias("idx"), (uniform(F.col("id"), seed) * (high - low) + low).alias("value"))
 
 
 def generated(spark: SparkSession, n: int, make) -> DataFrame:
@@ -85,23 +98,20 @@ def generated(spark: SparkSession, n: int, make) -> DataFrame:
 
 def outlier_bytes(spark: SparkSession, n: int, ratio: float, seed: int, majority: int = 69) -> DataFrame:
     """A majority byte with probability ``ratio``, else any; one 0 and one 255 planted."""
-    value = F.when(F.rand(seed) < ratio, F.lit(majority)).otherwise(F.floor(F.rand(seed + 1) * 256))
+    value = F.when(uniform(F.col("id"), seed) < ratio, F.lit(majority)).otherwise(F.floor(uniform(F.col("id"), seed, 1) * 256))
     planted = F.when(F.col("id") == n // 3, 0).when(F.col("id") == 2 * n // 3, 255).otherwise(value)
     return spark.range(n).select(F.col("id").alias("idx"), planted.cast("short").alias("byte"))
 
 
 def sampled_positions(points: DataFrame, ratio: float, idx: str = "idx", seed: int = 0) -> DataFrame:
     """Positions kept with probability ``ratio``: by hash, so the same on every run."""
-    share = F.pmod(F.xxhash64(F.col(idx), F.lit(seed)), F.lit(1_000_000))
-    return points.select(idx).filter(share < int(ratio * 1_000_000))
+    return points.select(idx).filter(uniform(F.col(idx), seed) < ratio)
 
 
 def blobs(spark: SparkSession, n: int, features: int, centers: int, seed: int) -> DataFrame:
     """Points around centers in [-10, 10); the label is the row modulo the centers."""
-    mid = np.random.default_rng(seed).uniform(-10, 10, (centers, features))
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in mid])
-    center = table[(F.col("id") % centers).cast("int")]
-    vector = F.array(*[center[j] + F.randn(seed + 1 + j) for j in range(features)])
+    center = lambda j: uniform(F.col("id") % centers, seed + 1, j) * 20 - 10
+    vector = F.array(*[center(j) + normal(F.col("id"), seed, j) for j in range(features)])
     return spark.range(n).select("id", (F.col("id") % centers).cast("int").alias("label"), vector.alias("vector"))
 
 
@@ -111,7 +121,7 @@ def circles(spark: SparkSession, n: int, factor: float, noise: float, seed: int)
     inner = F.col("id") >= outer
     angle = F.when(inner, (F.col("id") - outer) / float(n - outer)).otherwise(F.col("id") / float(max(1, outer))) * (2 * np.pi)
     r = F.when(inner, F.lit(factor)).otherwise(1.0)
-    vector = F.array(r * F.cos(angle) + F.randn(seed) * noise, r * F.sin(angle) + F.randn(seed + 1) * noise)
+    vector = F.array(r * F.cos(angle) + normal(F.col("id"), seed) * noise, r * F.sin(angle) + normal(F.col("id"), seed, 1) * noise)
     return spark.range(n).select("id", inner.cast("int").alias("label"), vector.alias("vector"))
 
 
