@@ -38,7 +38,7 @@ WIDTH = SYMBOLS // CHUNKS
 THRESHOLD = 2 * CHUNKS - 1  # beyond it every chunk may have two errors
 NUMERATOR, DENOMINATOR = 75, 100
 FLUSH_SETS, FLUSH_IDS = 20_000, 1_000_000  # what a task gathers before it emits
-CELL_SETS, CELL_SHINGLES = 512, 500_000  # sets of a cell on either side, and shingles of those that it holds
+CELL_SETS, CELL_SHINGLES = 256, 500_000  # sets of a cell on either side, and shingles of those that it holds
 BROADCAST_ROWS = 500_000
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
