@@ -64,18 +64,35 @@ def test_rewards():
         bandit.reward("none")
 
 
-def test_budget(spark, tmp_path):
-    points = spark.range(2000).select(F.col("id").alias("idx"), (F.col("id") % 4).alias("signal_id"), F.timestamp_seconds("id").alias("ts"), F.round(F.rand(3) * 50, 2).alias("value"))
-    seg = segmentize(points, 25)
-    job = pipeline.Ingest(str(tmp_path), budget=3000, target=0.25)
-    job.batch(seg, 0)
-    entry = job.history[0]
-    assert entry["segments"] == seg.count() and entry["recoded"] > 0
-    stored = spark.read.parquet(f"{tmp_path}/compressed/epoch=0")
-    old = pipeline.over_budget(stored, 3000)
-    rest = stored.join(old, ["signal_id", "seg_id"], "left_anti")
-    assert rest.agg(F.sum("n_bytes")).first()[0] <= 3000
-    assert old.agg(F.max("touched")).first()[0] <= rest.agg(F.max("touched")).first()[0]
+def test_budget(spark, tmp_path, monkeypatch):
+    """Over several batches and a restart the store keeps its budget and every segment."""
+    rows = spark.range(4000).select(F.col("id").alias("idx"), (F.col("id") % 4).alias("signal_id"), F.timestamp_seconds("id").alias("ts"), F.round(F.rand(3) * 50, 2).alias("value"))
+    seg = segmentize(rows, 25).cache()
+    steps = [seg.filter(f"seg_id >= {a} AND seg_id < {a + 13}") for a in (0, 13, 26)]
+    job = pipeline.Ingest(str(tmp_path), budget=6000, target=0.25)
+    used = lambda: spark.read.parquet(*[str(p) for p in sorted((tmp_path / "parts").iterdir())])
+    for epoch, step in enumerate(steps):
+        if epoch == 2:  # a new process goes on from the files
+            values = [b.values for b in (job.lossless, *job.lossy)]
+            (tmp_path / "parts" / "999999").mkdir()  # left by a batch that was cut short
+            job = pipeline.Ingest(str(tmp_path), budget=6000, target=0.25)
+            job.restore(spark)
+            assert [b.values for b in (job.lossless, *job.lossy)] == values and len(job.history) == 2
+        job.batch(step, epoch)
+        here = used()
+        assert here.agg(F.sum("n_bytes")).first()[0] == sum(job.parts.values()) <= 6000
+        assert here.select("signal_id", "seg_id").distinct().count() == here.count() == sum(h["segments"] for h in job.history)
+    assert [h["epoch"] for h in job.history] == [0, 1, 2] and job.history[-1]["recoded"] > 0
+    assert used().agg(F.min("ratio")).first()[0] < 0.25  # halved again
+    newest, oldest = used().agg(F.max_by("ratio", "touched"), F.min_by("ratio", "touched")).first()
+    assert newest >= oldest
+    before = used().count()
+    job.batch(steps[2], 2)  # a replay
+    assert used().count() == before
+    monkeypatch.setattr(pipeline, "LEAST_RATIO", 0.25)
+    tight = pipeline.Ingest(str(tmp_path / "tight"), budget=10, bandit=False)
+    tight.batch(steps[0], 0)
+    assert sum(tight.parts.values()) > 10 and sum(h["segments"] for h in tight.history) == steps[0].count()
     m = pipeline.recoding_metrics(seg, pipeline.reconstruct(seg, Paa(1)))
     assert m.agg(F.max("sum_error")).first()[0] < 1e-12
     assert pipeline.recode(Paa(2), 3).window == 16

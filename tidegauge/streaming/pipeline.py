@@ -1,24 +1,28 @@
 """A budgeted store of segments: compress on arrival, recode when space runs short.
 
 Each micro-batch is one table. Lossless sizes are taken per segment; the policy
-picks the least recently touched segments until the budget is met and recodes
-them; metrics of every recoding join exact and lossy stats by key.
+picks the least recently touched segments of all batches until the budget is met
+and recodes them in place; metrics of every recoding join the segments before and
+after it by key.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codecs import size
 from ..codecs.transforms import Codec, for_ratio, halved, reconstruct
 from ..operators.aggregate import relative_error
 from ..operators.ranges import running_total
+from ..session import kept
 from .bandit import LOSSLESS_ARMS, LOSSY_ARMS, Bandit, band, reward
 
 
@@ -62,12 +66,22 @@ def recoding_metrics(exact: DataFrame, lossy: DataFrame) -> DataFrame:
     return both.select("signal_id", "seg_id", ratio.alias("ratio"), *[relative_error(F.col(c), F.col(f"e_{c}")).alias(f"{c}_error") for c in ("max", "sum")])
 
 
+LEAST_RATIO = 1 / 64  # segments are not halved beyond it; nothing is ever dropped
+
+
 @dataclass
 class Ingest:
-    """State of the driver between micro-batches; kept beside the checkpoint.
+    """The store, and the driver's state between micro-batches.
+
+    Segments lie in parts, which are tables below ``path``; ``state.json`` names the
+    live ones and holds bandits and history, so that a restart goes on where the last
+    batch ended and a replayed batch is skipped. Whenever the parts take more than
+    ``budget`` bytes, the least recently touched segments of all batches are recoded
+    (lossless ones to ``target``, or 0.25; lossy ones to half their ratio), and the
+    parts that held them are written anew without the originals.
 
-    ``bandit`` chooses codecs; without it the first arms are used. ``target`` is the
-    ratio of the online mode; without it methods start at 0.25 and are halved.
+    ``bandit`` chooses codecs; without it the first arms are used. Bytes are those
+    that the codecs take; segments that can't shrink further stay, over the budget.
     """
 
     path: str
@@ -79,6 +93,9 @@ class Ingest:
     lossless: Bandit = field(default_factory=lambda: Bandit(len(LOSSLESS_ARMS)))
     lossy: list[Bandit] = field(default_factory=lambda: [Bandit(len(LOSSY_ARMS)) for _ in range(3)])
     history: list[dict] = field(default_factory=list)
+    parts: dict[str, int] = field(default_factory=dict)  # live parts and their bytes
+    made: int = 0
+    restored: bool = False
 
     def codec(self, ratio: float) -> tuple[int, Codec]:
         arm = self.lossy[band(ratio)].choose() if self.bandit else 0
@@ -87,40 +104,150 @@ class Ingest:
             name = "paa"
         return arm, for_ratio(name, ratio, self.scale)
 
+    # ------------------------------------------------------------------ state
+    def restore(self, spark: SparkSession) -> None:
+        """Take up the state that the last batch left, and remove parts it doesn't name."""
+        if self.restored:
+            return
+        self.restored = True
+        files = Folder(spark, self.path)
+        if (text := files.read("state.json")) is not None:
+            raw = json.loads(text)
+            self.parts, self.made, self.history = raw["parts"], raw["made"], raw["history"]
+            for b, dumped in zip([self.lossless, *self.lossy], raw["bandits"], strict=True):
+                b.load(dumped)
+        for name in files.names("parts"):
+            if name not in self.parts:
+                files.remove(f"parts/{name}")
+
+    def save(self, spark: SparkSession) -> None:
+        Folder(spark, self.path).write("state.json", json.dumps({"parts": self.parts, "made": self.made, "history": self.history, "bandits": [b.dump() for b in (self.lossless, *self.lossy)]}))
+
+    def add(self, rows: DataFrame, tag: str = "parts") -> str:
+        """A new part of these rows."""
+        name = f"{self.made:06d}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{tag}/{name}")
+        self.made += 1
+        return name
+
+    def segments(self, spark: SparkSession) -> DataFrame:
+        """All segments of the store, with the part that holds each."""
+        return reduce(DataFrame.unionByName, [spark.read.parquet(f"{self.path}/parts/{p}").withColumn("part", F.lit(p)) for p in sorted(self.parts)])
+
+    def size(self, spark: SparkSession, name: str) -> int:
+        return spark.read.parquet(f"{self.path}/parts/{name}").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+    # ----------------------------------------------------------------- batches
     def batch(self, segments: DataFrame, epoch: int) -> None:
-        """One micro-batch: compress, store, and recode what exceeds the budget."""
-        segments = segments.persist()
-        n = segments.count()
+        """One micro-batch: compress, store, and recode while the budget is exceeded."""
+        spark = segments.sparkSession
+        self.restore(spark)
+        if any(h["epoch"] == epoch for h in self.history):
+            return
+        arm = self.lossless.choose() if self.bandit else 0
+        fresh = compress(segments, LOSSLESS_ARMS[arm], self.scale).withColumns({"touched": F.col("ts"), "ratio": F.lit(1.0)})
+        name = self.add(fresh)
+        n, total, size = spark.read.parquet(f"{self.path}/parts/{name}").agg(F.count("*"), F.sum("n_bytes"), F.sum("size")).first()
         if n:
+            self.parts[name] = total
+            self.lossless.update(arm, 8 * size / max(1, total))
+            entry = {"epoch": epoch, "segments": n, "method": LOSSLESS_ARMS[arm], "bytes": total, "recoded": 0}
+            self.shrink(spark, entry)
+            self.history.append(entry | {"stored": sum(self.parts.values())})
+        self.save(spark)
+
+    def shrink(self, spark: SparkSession, entry: dict) -> None:
+        """Recode until the parts are within the budget, or can't shrink."""
+        while sum(self.parts.values()) > self.budget:
             began = time.monotonic()
-            arm = self.lossless.choose() if self.bandit else 0
-            stored = compress(segments, LOSSLESS_ARMS[arm], self.scale).withColumn("touched", F.col("ts")).persist()
-            total = stored.agg(F.sum("n_bytes")).first()[0]
-            self.lossless.update(arm, 8 * segments.agg(F.sum("size")).first()[0] / max(1, total))
-            stored.write.mode("overwrite").parquet(f"{self.path}/compressed/epoch={epoch}")
-            entry = {"epoch": epoch, "segments": n, "method": LOSSLESS_ARMS[arm], "bytes": total}
-            if total > self.budget:
-                ratio = self.target or 0.25
-                choice, codec = self.codec(ratio)
-                old = over_budget(stored, self.budget)
-                lossy = reconstruct(old.drop("n_bytes"), codec)
-                m = recoding_metrics(old, lossy).persist()
-                lossy.write.mode("overwrite").parquet(f"{self.path}/recoded/epoch={epoch}")
-                m.write.mode("overwrite").parquet(f"{self.path}/metrics/epoch={epoch}")
-                e = m.agg(F.avg("max_error"), F.avg("sum_error"), F.avg("ratio"), F.count("*")).first()
-                pay = reward(self.task, max_error=e[0] or 0.0, sum_error=e[1] or 0.0, ratio=e[2] or 1.0, throughput=e[3] / max(1e-9, time.monotonic() - began))
-                self.lossy[band(ratio)].update(choice, pay)
-                entry |= {"recoded": e[3], "codec": codec.name, "reward": pay}
-                m.unpersist()
-            self.history.append(entry)
-            stored.unpersist()
-        segments.unpersist()
+            store = self.segments(spark)
+            small = F.col("ratio") <= LEAST_RATIO
+            fixed = store.agg(F.coalesce(F.sum(F.when(small, F.col("n_bytes"))), F.lit(0))).first()[0]
+            old = over_budget(store.filter(~small), max(0, self.budget - fixed))
+            old = kept(old, "old-segments")
+            levels = [r[0] for r in old.select("ratio").distinct().orderBy("ratio").collect()]  # a few halvings
+            if not levels:
+                return
+            lossy = []
+            for level in levels:
+                ratio = (self.target or 0.25) if level == 1 else level / 2
+                arm, codec = self.codec(ratio)
+                rows = reconstruct(old.filter(F.col("ratio") == level).drop("n_bytes"), codec)
+                lossy.append((ratio, arm, codec, rows.withColumns({"ratio": F.lit(float(ratio)), "method": F.lit(codec.name)})))
+            recoded = reduce(DataFrame.unionByName, [x[3] for x in lossy])
+            held = [r[0] for r in old.select("part").distinct().collect()]
+            rest = store.filter(F.col("part").isin(held)).join(old.select("signal_id", "seg_id", "part"), ["signal_id", "seg_id", "part"], "left_anti")
+            name = self.add(rest.unionByName(recoded).drop("part"))
+            m = recoding_metrics(old, recoded.drop("ratio")).join(old.select("signal_id", "seg_id", F.col("ratio").alias("before")), ["signal_id", "seg_id"])
+            m.write.mode("overwrite").parquet(f"{self.path}/metrics/{name}")
+            took = max(1e-9, time.monotonic() - began)
+            stats = spark.read.parquet(f"{self.path}/metrics/{name}").groupBy("before").agg(F.avg("max_error"), F.avg("sum_error"), F.avg("ratio"), F.count("*")).collect()
+            for level, (ratio, arm, codec, _) in zip(levels, lossy, strict=True):
+                e = next(r for r in stats if r["before"] == level)
+                pay = reward(self.task, max_error=e[1] or 0.0, sum_error=e[2] or 0.0, ratio=e[3] or 1.0, throughput=e[4] / took)
+                self.lossy[band(ratio)].update(arm, pay)
+                entry["recoded"] += e[4]
+                entry |= {"codec": codec.name, "reward": pay, "least_ratio": min(ratio, entry.get("least_ratio", 1.0))}
+            for part in held:
+                del self.parts[part]
+            self.parts[name] = self.size(spark, name)
+            self.save(spark)  # the originals go only when nothing names them
+            for part in held:
+                Folder(spark, self.path).remove(f"parts/{part}")
 
     def start(self, segments: DataFrame, checkpoint: str, trigger: dict | None = None):
         """Run on a stream of segments."""
         return segments.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Folder:
+    """Small files and names below a path, through Spark's file systems."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.path = path
+        self.fs = self.at("").getFileSystem(conf)
+
+    def at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def read(self, name: str) -> str | None:
+        if not self.fs.exists(self.at(name)):
+            return None
+        stream = self.fs.open(self.at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """The file is there whole, or as it was."""
+        out = self.fs.create(self.at(f"{name}.new"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(
+            self.fs.makeQualified(self.at(f"{name}.new")), self.fs.makeQualified(self.at(name)), self.overwrite()
+        )
+
+    def overwrite(self):
+        kinds = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+        found = self.jvm.java.util.ArrayList()
+        for k in kinds:
+            if k.toString() == "OVERWRITE":
+                found.add(k)
+        out = self.jvm.java.lang.reflect.Array.newInstance(found.get(0).getDeclaringClass(), 1)
+        self.jvm.java.lang.reflect.Array.set(out, 0, found.get(0))
+        return out
+
+    def names(self, name: str) -> list[str]:
+        if not self.fs.exists(self.at(name)):
+            return []
+        return [s.getPath().getName() for s in self.fs.listStatus(self.at(name))]
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
 def mode(name: str, path: str, **settings) -> Ingest:
     """The four ways to run: fixed or bandit codecs, offline (halving at 80 % of the
     budget) or online (a target ratio from the start, recoding at once).
