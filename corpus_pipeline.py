@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.llm import lsm_dedup, neardup, packing, secrets_scan, toxicity
 from tidegauge.llm._shared import stored, table
 
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go, of any length; those without text
     stay. Repeated rows are judged alike.
