@@ -54,13 +54,25 @@ def test_url_scores_equal_a_plain_model():
     assert model.score(some) == pytest.approx([plain_difference(counts, u) for u in some], abs=1e-9)
 
 
-def test_url_score_at_the_threshold_is_allowed(spark, monkeypatch):
-    """Ties go to allow; so do urls where a model has no rows."""
+def test_url_without_rows_of_a_model_is_allowed(spark):
     rows = [(i, f"http://a.net/{i}") for i in range(5)] + [(9, "http://other.info/")]
     got = {r.page_id: (r.rule, r.verdict) for r in url_lm.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[0] == ("net/", "block") and got[9] == (None, "allow")
 
 
+def test_url_tables_beyond_the_broadcast(spark, monkeypatch):
+    """Scores by joins equal those by models in memory; blocks of one URL too."""
+    r = np.random.default_rng(8)
+    host = lambda: "".join(chr(97 + i) for i in r.integers(0, 6, 7))
+    urls = [f"http://{host()}.{t}/{p}/{i}" for i in range(120) for t, p in (("net", "x"), ("org", "fr"), ("info", "é"))] + [None, "", "plain"]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls + urls[:9])], "page_id long, url string, block int").repartition(3)
+    run = lambda: sorted(((x.page_id, x.rule, x.verdict, None if x.score is None else round(x.score, 9)) for x in url_lm.filter_urls(pages).collect()), key=repr)
+    want = run()
+    assert len(want) == len(urls) + 9 and {v for _, rule, v, _ in want if rule is None} == {"allow", "block"}
+    monkeypatch.setattr(url_lm, "BROADCAST_GRAMS", 0)
+    assert run() == want
+
+
 # ---------------------------------------------------------------- secrets
 def plain_links(text, reach=secrets_scan.REACH):
     """Every pair of spans is compared."""

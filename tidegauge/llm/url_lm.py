@@ -5,21 +5,23 @@ rules block, give each other URL a log-likelihood difference per character. Its
 threshold is calibrated on rows that the models did not count.
 
 Counts cover all rows that a rule judges. They are exact: each n-gram is its own
-key, so no two share a counter, and what is sent to the driver and to the tasks
-is one row for each distinct n-gram.
+key, so no two share a counter. A table of up to ``BROADCAST_GRAMS`` n-grams is sent
+to the tasks; a larger one stays where it is, and each block of URLs is joined with
+the n-grams that it has.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._shared import blobs, slices, table
+from ._shared import blobs, bounded, slices, stored, table
 
 # The rules of the query, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -28,6 +30,8 @@ WEIGHT = 4.0  # pseudo-counts that a shorter context gets
 BINS = 2001  # of the calibration histogram over [-LIMIT, LIMIT]
 LIMIT = 8.0
 START, END = 2, 3
+BROADCAST_GRAMS = 4_000_000  # n-grams with their counts: 96 MB
+BLOCK_BYTES = 64 << 10  # URLs that are joined with their n-grams together
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -77,8 +81,26 @@ def look_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, counts[:, at], 0).astype(np.float64)
 
 
+def difference(urls: list[bytes], look: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Log-likelihood difference per character of two smoothed models.
+
+    ``look`` gives label x key counts of n-grams, and of their contexts. Positive:
+    more like the accepted ones.
+    """
+    if not urls:
+        return np.zeros(0)
+    grams, row = ngram_keys(urls)
+    p = np.full((2, len(row)), 1 / 256)
+    for key in grams:
+        # most positions repeat: each distinct n-gram is looked up once
+        once, at = np.unique(key, return_inverse=True)
+        seen, before = look(once)
+        p = (seen[:, at] + WEIGHT * p) / (before[:, at] + WEIGHT)
+    return np.bincount(row, np.log(p[0]) - np.log(p[1]), len(urls)) / np.bincount(row, minlength=len(urls))
+
+
 class Ratio:
-    """Log-likelihood difference per character of two smoothed models."""
+    """Both models in memory."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         """Ascending keys of n-grams, and label x key counts."""
@@ -88,22 +110,14 @@ class Ratio:
         self.totals = np.add.reduceat(counts, heads, axis=1) if len(keys) else counts
 
     def score(self, urls: list[bytes]) -> np.ndarray:
-        """Positive: more like the accepted ones."""
-        if not urls:
-            return np.zeros(0)
-        grams, row = ngram_keys(urls)
-        p = np.full((2, len(row)), 1 / 256)
-        for key in grams:
-            # most positions repeat: each distinct n-gram is looked up once
-            once, at = np.unique(key, return_inverse=True)
-            seen, before = look_up(self.keys, self.counts, once), look_up(self.contexts, self.totals, once >> 8)
-            p = (seen[:, at] + WEIGHT * p) / (before[:, at] + WEIGHT)
-        diff = np.log(np.minimum(p[0], 1.0)) - np.log(np.minimum(p[1], 1.0))
-        return np.bincount(row, diff, len(urls)) / np.bincount(row, minlength=len(urls))
+        return difference(urls, lambda once: (look_up(self.keys, self.counts, once), look_up(self.contexts, self.totals, once >> 8)))
 
 
-def count_grams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending keys of all n-grams, and their counts: fold x label x key.
+COUNTS = ("n0", "n1", "n2", "n3")  # of fold 0 accepted and rejected, then fold 1
+
+
+def gram_table(labelled: DataFrame) -> DataFrame:
+    """Counts of all n-grams: gram, and a column for each fold and label.
 
     ``labelled`` has url, label (0 accepted, 1 rejected) and fold (0 or 1).
     """
@@ -115,30 +129,104 @@ def count_grams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             kind = (2 * fold + label)[row]
             keys, at = np.unique(grams, return_inverse=True)
             n = np.bincount((at.reshape(grams.shape) * 4 + kind).ravel(), minlength=4 * len(keys)).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(n[:, i]) for i in range(4))], names=["gram", "n0", "n1", "n2", "n3"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(n[:, i]) for i in range(4))], names=["gram", *COUNTS])
 
-    names = ["n0", "n1", "n2", "n3"]
     got = labelled.select("url", "label", "fold").mapInArrow(run, "gram long, n0 long, n1 long, n2 long, n3 long")
-    got = got.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    return got.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def count_grams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The same in memory: ascending keys, and fold x label x key counts."""
+    return gathered(gram_table(labelled))
+
+
+def gathered(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = grams.toArrow()
     keys = got.column("gram").to_numpy()
     by = np.argsort(keys)
-    return keys[by], np.stack([got.column(c).to_numpy()[by] for c in names]).reshape(2, 2, -1)
+    return keys[by], np.stack([got.column(c).to_numpy()[by] for c in COUNTS]).reshape(2, 2, -1)
 
 
-def calibrate(labelled: DataFrame, model: Ratio, fold: int) -> float:
-    """The threshold with the least balanced error on rows of a fold."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+Scorer = Callable[[DataFrame], DataFrame]  # adds a column score to rows with a url
+
+
+def in_memory(keys: np.ndarray, counts: np.ndarray) -> Scorer:
+    """Scores by models that every task holds."""
+
+    def add(rows: DataFrame) -> DataFrame:
+        model = rows.sparkSession.sparkContext.broadcast(Ratio(keys, counts))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "url"):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.score(blobs(b.column("url"))), pa.float64())], names=[*b.schema.names, "score"])
+
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+    return add
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = np.zeros((2, BINS), np.int64)
-        for b in slices(batches, "url"):
-            s = shared.value.score(blobs(b.column("url")))
-            at = np.clip(np.rint((s + LIMIT) / (2 * LIMIT) * (BINS - 1)), 0, BINS - 1).astype(int)
-            np.add.at(hist, (np.array(b.column("label").to_pylist(), int), at), 1)
-        at = np.flatnonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(hist.ravel()[at], pa.int64())], names=["bin", "n"])
 
-    got = labelled.filter(F.col("fold") == fold).select("url", "label").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+def by_join(grams: DataFrame, accepted: Column, rejected: Column) -> Scorer:
+    """Scores by a stored table of n-grams: each block of URLs meets those it has.
+
+    A block's own n-grams are bounded by its bytes, so a task holds no more.
+    """
+    counts = grams.select("gram", accepted.alias("c0"), rejected.alias("c1"))
+    totals = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"))
+    numbers = ["gram", "c0", "c1", "t0", "t1"]
+
+    def add(rows: DataFrame) -> DataFrame:
+        schema = rows.schema
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId() << 32
+            for i, b in enumerate(slices(batches, "url", BLOCK_BYTES)):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part + i))], names=[*b.schema.names, "block"])
+
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                block, urls = b.column("block").to_numpy(), blobs(b.column("url"))
+                cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    keys = np.unique(ngram_keys(urls[x:y])[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block[x])), pa.array(keys)], names=["block", "gram"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, held = None, []
+            for b in batches:
+                block, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+                cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), True]) if len(block) else []
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    if block[x] != here:
+                        here, held = block[x], []
+                    part = b.slice(x, y - x)
+                    if kind[x] == 0:
+                        held.append([part.column(c).to_numpy() for c in numbers])
+                        continue
+                    key, *n = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.argsort(key)
+                    key, n = key[order], np.stack(n)[:, order]
+                    scores = difference(blobs(part.column("url")), lambda once: (look_up(key, n[:2], once), look_up(key, n[2:], once)))  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in schema), pa.array(scores, pa.float64())], names=[*schema.names, "score"])
+
+        dealt = stored(rows.mapInArrow(deal, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, block long"), "url-blocks")
+        asked = dealt.select("block", "url").mapInArrow(wanted, "block long, gram long").distinct()
+        known = asked.join(counts, "gram", "left").join(totals, F.shiftright("gram", 8) == F.col("context"), "left")
+        known = known.select("block", F.lit(0).alias("kind"), "gram", *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers[1:]), *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        urls = dealt.select("block", F.lit(1).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in numbers), *schema.names)
+        both = known.union(urls).repartition("block").sortWithinPartitions("block", "kind")
+        return both.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+    return add
+
+
+def calibrate(labelled: DataFrame, add: Scorer, fold: int) -> float:
+    """The threshold with the least balanced error on rows of a fold."""
+    scored = add(labelled.filter(F.col("fold") == fold).select("url", "label"))
+    at = F.rint((F.col("score") + LIMIT) / (2 * LIMIT) * (BINS - 1))
+    at = F.least(F.greatest(at, F.lit(0.0)), F.lit(BINS - 1.0)).cast("long")
+    got = scored.groupBy((F.col("label") * BINS + at).alias("bin")).agg(F.count("*").alias("n")).toArrow()
     hist = np.zeros(2 * BINS)
     hist[got.column("bin").to_numpy()] = got.column("n").to_numpy()
     accepted, rejected = hist[:BINS], hist[BINS:]
@@ -156,7 +244,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     ``pages`` needs ``page_id`` and ``url``; other columns are ignored. Null
     urls, and those without ``://``, have an empty host and path and are judged
     by the models on what text they have; the empty url is allowed, as is every
-    url where rules give no row for one of the models. Returns page_id, host,
+    url where rules give no row for one of the models. A score at the threshold is
+    allowed. Urls may have any length; repeated rows are judged and counted each. Returns page_id, host,
     path, rule, verdict, score (null where a rule decides).
     """
     host, path = host_path(F.col("url"))
@@ -165,26 +254,25 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     blocked = F.col("hit").isin([i for i, r in enumerate(rules) if r[0] == "block"])
     labelled = rows.filter("hit IS NOT NULL").select("url", blocked.cast("int").alias("label"), F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(2)).cast("int").alias("fold"))
-    keys, counts = count_grams(labelled)
-    ready = bool((counts.sum(axis=(0, 2)) > 0).all())
-    threshold = calibrate(labelled, Ratio(keys, counts[0]), 1) if ready else 0.0
-    model = pages.sparkSession.sparkContext.broadcast(Ratio(keys, counts.sum(axis=0)))
+    grams = stored(gram_table(labelled), "url-grams")
+    sums = grams.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in COUNTS)).first()
     names = F.lit(None).cast("string")
     for i, r in enumerate(rules):
         names = F.when(F.col("hit") == i, F.lit(r[1] + r[2])).otherwise(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "url"):
-            urls = blobs(b.column("url"))
-            s = model.value.score(urls) if ready else np.zeros(len(urls))
-            s = [None if h is not None else float(x) for x, h in zip(s, b.column("hit").to_pylist(), strict=True)]
-            ok = [None if x is None else not ready or not u or x >= threshold for x, u in zip(s, urls, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), b.column("rule"), b.column("blocked"), pa.array(s, pa.float64()), pa.array(ok, pa.bool_())], names=["page_id", "host", "path", "rule", "blocked", "score", "likely"])
-
-    judged = rows.select("page_id", "url", "host", "path", "hit", names.alias("rule"), blocked.alias("blocked"))
-    judged = judged.mapInArrow(run, "page_id long, host string, path string, rule string, blocked boolean, score double, likely boolean")
-    verdict = F.when(F.coalesce(~F.col("blocked"), F.col("likely")), "allow").otherwise("block")
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    judged = rows.select("page_id", "url", "host", "path", names.alias("rule"), blocked.alias("blocked"))
+    if not (sums[0] + sums[2] and sums[1] + sums[3]):  # no row for one of the models
+        likely, scored = F.lit(True), judged.withColumn("score", F.lit(0.0))
+    else:
+        if bounded(grams, BROADCAST_GRAMS):
+            keys, counts = gathered(grams)
+            first, every = in_memory(keys, counts[0]), in_memory(keys, counts.sum(axis=0))
+        else:
+            first = by_join(grams, F.col("n0"), F.col("n1"))
+            every = by_join(grams, F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3"))
+        threshold = calibrate(labelled, first, 1) if all(sums[:2]) else 0.0
+        likely, scored = (F.length(F.coalesce("url", F.lit(""))) == 0) | (F.col("score") >= threshold), every(judged)
+    verdict = F.when(F.coalesce(~F.col("blocked"), likely), "allow").otherwise("block")
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("score")).alias("score"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
