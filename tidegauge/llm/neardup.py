@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, maybe_broadcast, mix64, one_of_each, shingle_hashes, slices, span_hashes, stored, table, text_bytes, text_hash, word_spans
+from ._shared import lower_ascii, maybe_broadcast, mix64, one_of_each, settled, shingle_hashes, slices, span_hashes, stored, table, text_bytes, text_hash, word_spans
 from .components import components
 
 K = 5  # words in a shingle
@@ -417,7 +417,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     inner, heads = index(nodes)
     one = links(docs, nodes, stored(first_cells(inner, heads).withColumn("grp", F.col("node")), "mih-cells"))
     groups = components(one)
-    near = stored(near_cells(open_cells(nodes, inner, heads, groups), nodes, groups), "mih-cells")
+    near = settled(lambda: near_cells(open_cells(nodes, inner, heads, groups), nodes, groups), "mih-cells")
     final = components(links(docs, nodes, near), groups)
     # components are named by ids, which may be null or repeat, so last of all
     inside = final.union(final.select("root", "root").distinct()).join(nodes.select("node", "first"), "node")
