@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import lsm_dedup, neardup, packing, secrets_scan, toxicity
-from tidegauge.llm._shared import stored, table
+from tidegauge.llm._shared import settled, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what a stage stored on its way goes when its rows are written
+        docs = settled(lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)
