@@ -7,6 +7,9 @@ import os
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA
 
@@ -48,6 +51,32 @@ def test_query(spark, duck, name):
         assert got
 
 
+def test_shape_distance_to_the_last_bit(spark, tmp_path):
+    """The sign of a zero, halves of the sixth decimal, nulls and what isn't a number."""
+    r = np.random.default_rng(1)
+    rows = [list(v) for v in r.normal(size=(6, 64))] + [[0.0] * 64, [1.0] * 64, [-1.0] * 64, [math.nan] + [1.0] * 63, [math.inf] + [1.0] * 63, [1e200] * 64, [1.0, None] * 32, [None] * 64, None, [], [1.0] * 20]
+    rows += [[float(2 ** (i + j) * (j < 4)) for j in r.integers(0, 9, 64)] for i in range(20)]
+    sql = SQL["shape_distance"]
+    for i, first in enumerate((0, 3, 6, 9, 12, 15, len(rows))):
+        path = tmp_path / str(i)
+        path.mkdir()
+        # the four first rows are what all are compared with; at last there are none
+        at = list(range(len(rows))) if first == len(rows) else [(n - first) % len(rows) for n in range(len(rows))]
+        pq.write_table(pa.table({"vec_id": pa.array([n + 4 * (first == len(rows)) for n in at]), "embedding": pa.array(rows, pa.list_(pa.float64())), "label": [0] * len(rows)}), path / "embeddings.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+        got = {x.id: repr(x.distances) for x in QUERIES["shape_distance"](spark, str(path)).collect()}
+        assert got == {k: repr(v) for k, v in con.sql(sql).fetchall()}
+
+
+@pytest.mark.parametrize("data", [DATA, entry.DATA])
+def test_shape_distance_keeps_the_sign_of_zero(spark, data):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
+    want = {k: repr(v) for k, v in con.sql(SQL["shape_distance"]).fetchall()}
+    assert {x.id: repr(x.distances) for x in QUERIES["shape_distance"](spark, data).collect()} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert os.path.isdir(entry.DATA)

@@ -35,8 +35,30 @@ def sink(x: np.ndarray, y: np.ndarray, gamma: float, k: int | None = None) -> fl
 
 
 def embedding_distance(x: np.ndarray, y: np.ndarray) -> float:
-    """1 less the greatest cross-correlation."""
-    return 1.0 - float(cross_correlation(x, y).max())
+    """1 less the greatest cross-correlation of two series, which have some values.
+
+    Masked values are left out, and shifts at which no two values meet. The Fourier
+    transform errs in the last bits, so it only tells which shifts may be the
+    greatest; their products, and the norms, are summed in order.
+    """
+    with np.errstate(all="ignore"):
+        meet = cross_correlation(~np.ma.getmaskarray(x), ~np.ma.getmaskarray(y)) * max(len(x), len(y)) > 0.5
+        x, y = np.ma.filled(x, 0.0), np.ma.filled(y, 0.0)
+        c = cross_correlation(x, y)
+        shift = np.r_[0 : len(c) // 2 + 1, -(len(c) // 2) : 0]
+        c, shift = c[meet], shift[meet]
+        near = shift[~(c < c.max() - 1e-9)].tolist()  # all of them where it isn't a number
+        top = np.max([np.cumsum(x[max(0, s) : len(y) + s] * y[max(0, -s) : len(x) - s])[-1] for s in near])
+        return float(1.0 - top / (np.sqrt(np.cumsum(x * x)[-1]) * np.sqrt(np.cumsum(y * y)[-1])))
+
+
+def half_away(x: float, digits: int) -> float:
+    """``x`` in decimals as C rounds it: halves away from zero, and zero keeps its sign."""
+    y = abs(x) * 10.0**digits
+    if not np.isfinite(y):
+        return x
+    whole = np.floor(y)
+    return float(np.copysign((whole + (y - whole >= 0.5)) / 10.0**digits, x))
 
 
 class Landmarks:

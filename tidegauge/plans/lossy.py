@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,11 +116,25 @@ NORM = "sqrt(list_sum(list_transform({0}, lambda z: z * z)))"
 
 @query("shape_distance", f"SELECT id, list(round(1 - {CROSS} / ({NORM.format('x')} * {NORM.format('y')}), 6) ORDER BY m) AS distances FROM (SELECT a.vec_id AS id, b.vec_id AS m, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id < 4) GROUP BY 1")
 def shape_distance(spark, d):
-    v = vectors(spark, d)
-    marks = [np.array(r.vector, float) for r in v.filter("id < 4").orderBy("id").collect()]
-    rows = v.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    out = transforms.per_series(lambda x: np.array([shape.embedding_distance(x, m) for m in marks]), rows, "vector")
-    return out.select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("distances"))
+    def series(v):
+        """Without its nulls; where there is nothing else there is no distance."""
+        missing = [z is None for z in v or ()]
+        if all(missing):
+            return None
+        x = np.array(v, float)
+        return np.ma.masked_array(x, missing) if any(missing) else x
+
+    v = vectors(spark, d).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    marks = [series(r.vector) for r in v.filter("id < 4").orderBy("id").collect()]
+
+    def run(batches):
+        for b in batches:
+            rows = map(series, b.column("vector").to_pylist())
+            out = [[None if x is None or m is None else shape.half_away(shape.embedding_distance(x, m), 6) for m in marks] for x in rows]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.float64()))], names=["id", "distances"])
+
+    kind = v.schema["id"].dataType.simpleString()
+    return v.filter(F.lit(bool(marks))).mapInArrow(run, f"id {kind}, distances array<double>")
 
 
 # ----------------------------------------------------------- sizes and prediction
