@@ -84,3 +84,25 @@ def test_entry(spark):
 
 def test_sql_names_are_queries():
     assert set(SQL) <= set(entry.queries())
+
+
+def zeros_among_events(spark, tmp_path, name):
+    """(rows of a query, rows of its SQL) on events with zeros, and on nothing else."""
+    events = pq.read_table(f"{DATA}/events.parquet").slice(0, 2500)
+    value = events.column("value").to_numpy()
+    at = np.arange(len(value))
+    for case, v in {"some": np.where(at % 97 == 5, 0.0, value), "nodes": np.where(at // 100 % 3 == 1, 0.0, value), "all": value * 0, "same": value * 0 + 7}.items():
+        path = tmp_path / case
+        path.mkdir()
+        pq.write_table(events.set_column(events.schema.get_field_index("value"), "value", pa.array(v)), path / "events.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+        df, rel = QUERIES[name](spark, str(path)), con.sql(SQL[name])
+        names = sorted(df.columns)
+        yield rows_of(df.collect(), [df.columns.index(c) for c in names]), rows_of(rel.fetchall(), [rel.columns.index(c) for c in names])
+
+
+@pytest.mark.parametrize("name", ["vector_errors", "prf", "auc", "r2_mse_mae"])
+def test_metrics_divide_by_zero_like_their_sql(spark, tmp_path, name):
+    for got, want in zeros_among_events(spark, tmp_path, name):
+        assert got == want

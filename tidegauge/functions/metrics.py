@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranges import running_total
+from .scalar import divided
 
 
 def accuracy(truth: Column, pred: Column) -> Column:
@@ -17,16 +18,16 @@ def _count(c: Column) -> Column:
 
 
 def precision(truth: Column, pred: Column) -> Column:
-    return _count((truth == 1) & (pred == 1)) / _count(pred == 1)
+    return divided(_count((truth == 1) & (pred == 1)), _count(pred == 1))
 
 
 def recall(truth: Column, pred: Column) -> Column:
-    return _count((truth == 1) & (pred == 1)) / _count(truth == 1)
+    return divided(_count((truth == 1) & (pred == 1)), _count(truth == 1))
 
 
 def f_beta(truth: Column, pred: Column, beta: float = 1.0) -> Column:
     p, r, b = precision(truth, pred), recall(truth, pred), beta * beta
-    return (1 + b) * p * r / (b * p + r)
+    return divided((1 + b) * p * r, b * p + r)
 
 
 def mse(truth: Column, pred: Column) -> Column:
@@ -39,7 +40,7 @@ def mae(truth: Column, pred: Column) -> Column:
 
 def r2(truth: Column, pred: Column) -> Column:
     """1 - residual / total sum of squares, in one pass."""
-    return 1 - F.sum((truth - pred) * (truth - pred)) / (F.var_pop(truth) * F.count(truth))
+    return 1 - divided(F.sum((truth - pred) * (truth - pred)), F.var_pop(truth) * F.count(truth))
 
 
 def error_count(a: Column, b: Column) -> Column:
@@ -47,7 +48,7 @@ def error_count(a: Column, b: Column) -> Column:
 
 
 def mean_relative_error(a: Column, b: Column) -> Column:
-    return F.avg((a - b) / a)
+    return F.avg(divided(a - b, a))
 
 
 def mean_signed_difference(a: Column, b: Column) -> Column:
@@ -66,7 +67,7 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     mid = F.col("_below") + (F.col("_n") + 1) / 2.0
     s = ranged.agg(F.sum(mid * F.col("_hits")).alias("r"), F.sum("_hits").alias("p"), F.sum("_n").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
-    return s.select(((F.col("r") - p * (p + 1) / 2.0) / (p * n)).alias("auc"))
+    return s.select(divided(F.col("r") - p * (p + 1) / 2.0, p * n).alias("auc"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

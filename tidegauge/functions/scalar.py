@@ -40,6 +40,12 @@ def second_wins_min(a: Column, b: Column) -> Column:
     return F.when(F.isnan(a) | F.isnan(b), b).otherwise(F.when(a < b, a).otherwise(b))
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: over zero it is infinite, or NaN for zero itself."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
 def bits_to_int(bits: Column) -> Column:
     """Number of a string of binary digits, least significant first."""
     return F.conv(F.reverse(bits), 2, 10).cast("long")
