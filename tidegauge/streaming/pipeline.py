@@ -181,7 +181,8 @@ class Ingest:
             m = recoding_metrics(old, recoded.drop("ratio")).join(old.select("signal_id", "seg_id", F.col("ratio").alias("before")), ["signal_id", "seg_id"])
             m.write.mode("overwrite").parquet(f"{self.path}/metrics/{name}")
             took = max(1e-9, time.monotonic() - began)
-            stats = spark.read.parquet(f"{self.path}/metrics/{name}").groupBy("before").agg(F.avg("max_error"), F.avg("sum_error"), F.avg("ratio"), F.count("*")).collect()
+            finite = lambda c: F.avg(F.when(F.col(c) < float("inf"), F.col(c)))  # noqa: E731  a segment whose truth is 0 has no relative error
+            stats = spark.read.parquet(f"{self.path}/metrics/{name}").groupBy("before").agg(finite("max_error"), finite("sum_error"), F.avg("ratio"), F.count("*")).collect()
             for level, (ratio, arm, codec, _) in zip(levels, lossy, strict=True):
                 e = next(r for r in stats if r["before"] == level)
                 pay = reward(self.task, max_error=e[1] or 0.0, sum_error=e[2] or 0.0, ratio=e[3] or 1.0, throughput=e[4] / took)
