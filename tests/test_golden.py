@@ -188,6 +188,23 @@ def test_cover(lo, hi):
     assert sorted(got) == list(range(lo, hi))
 
 
+def test_svm_decides_in_blocks():
+    """What a task holds does not grow with its rows times the support rows."""
+    r, held = np.random.default_rng(3), []
+
+    def kernel(a, b):
+        held.append(len(a) * len(b))
+        return svm.rbf(0.5)(a, b)
+
+    x, rows = r.normal(size=(3000, 4)), r.normal(size=(2000, 4))
+    model = svm.Svm(kernel, x, r.normal(size=3000), 0.25)
+    got = model.decision(rows)
+    assert max(held) <= svm.CELLS and sum(held) == len(x) * len(rows)
+    assert np.allclose(got, svm.rbf(0.5)(rows, x) @ model.weights + 0.25, atol=1e-9)
+    assert model.decision(rows[:0]).shape == (0,)
+    assert (svm.Svm(kernel, x, np.zeros(3000), 0.25).decision(rows) == 0.25).all()
+
+
 def test_svm():
     r = np.random.default_rng(0)
     x = r.normal(size=(120, 2))
