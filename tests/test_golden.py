@@ -188,6 +188,52 @@ def test_cover(lo, hi):
     assert sorted(got) == list(range(lo, hi))
 
 
+def shuffled(spark) -> int:
+    """Bytes that this session shuffled."""
+    return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+
+def test_dbscan_shuffles_in_proportion(spark, monkeypatch):
+    """Neither pairs nor blocks for each other block: four times the rows, about four times the bytes."""
+    monkeypatch.setattr(similarity, "BLOCK", 100)
+    r, took = np.random.default_rng(5), []
+    for n in (3000, 12000):
+        points = np.stack([np.arange(n) % 10 * 5.0, *r.random((3, n))], axis=1)
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<float>").repartition(4).cache()
+        df.count()
+        before = shuffled(spark)
+        got = {x.id: x.cluster for x in cluster.dbscan(df, "id", "vector", 0.5, 5).collect()}
+        took.append(shuffled(spark) - before)
+        assert got == {i: i % 10 for i in range(n)}
+    assert took[1] < 6 * took[0]
+
+
+@pytest.mark.parametrize("cell, tasks", [(7, 1), (10**6, 1), (40, 16)])
+def test_cells_of_any_grid(spark, monkeypatch, cell, tasks):
+    """Small and large cells give the pairs, clusters and neighbours of a plain search; a
+    row without a vector has none, and what isn't a number hides no other row.
+    """
+    monkeypatch.setattr(similarity, "CELL", cell)
+    real = similarity._grid
+    monkeypatch.setattr(similarity, "_grid", lambda q, t, n: real(q, t, tasks))
+    r = np.random.default_rng(8)
+    points = np.r_[r.normal(size=(60, 2)) * 1.5, [[np.nan, 0.0]]]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(61, None)], "id long, vector array<double>")
+    near = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) <= 0.6
+    assert {(x.query_id, x.train_id) for x in similarity.within(df, df, 0.6).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    core = near.sum(1) >= 4
+    label = np.where(core, np.arange(61), 99)
+    for _ in range(61):
+        label = np.where(core, np.where(near & core[None], label[None], 99).min(1), 99)
+    number = {x: i for i, x in enumerate(sorted(set(label[core].tolist())))}
+    beside = np.where(near & core[None], label[None], 99).min(1)
+    assert len(number) > 2 and (beside[~core] < 99).any()
+    assert {x.id: x.cluster for x in cluster.dbscan(df, "id", "vector", 0.6, 4).collect()} == {i: number.get(x, -1) for i, x in enumerate([*beside.tolist(), 99])}
+    d = ((points[:60, None] - points[None, :60]) ** 2).sum(-1)
+    want = {(i, j, k + 1) for i in range(60) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3].tolist())}
+    assert {(x.query_id, x.train_id, x["rank"]) for x in similarity.k_nearest(df, df.filter("id < 60"), 3).collect() if x.query_id < 60} == want
+
+
 def test_svm_decides_in_blocks():
     """What a task holds does not grow with its rows times the support rows."""
     r, held = np.random.default_rng(3), []

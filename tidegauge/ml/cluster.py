@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.scalar import squared_distance
-from ..operators.similarity import within
+from ..operators.similarity import linked_within, marks_within
 from ..operators.topk import dense_index
 from ..session import kept
 
@@ -55,28 +55,36 @@ def assign(df: DataFrame, vector: str, centroids: np.ndarray, out: str = "cluste
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(key, cluster) with -1 for noise, over all rows.
 
-    Neighbour counts of a radius join give the cores; clusters are the components
-    of links between cores, numbered by their smallest key. Another row belongs to
-    the first cluster that has a core near it.
+    Counts of neighbours give the cores; clusters are the components of links
+    between cores, numbered by their smallest key. Another row belongs to the first
+    cluster that has a core near it. Distances are taken three times, so that no
+    pair leaves its task: pairs grow with the square of the rows.
     """
-    near = kept(within(df, df, eps, key, vector).select(F.col("query_id").alias("a"), F.col("train_id").alias("b")))
-    cores = kept(near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("node")))
-    to_core = near.join(cores.toDF("b"), "b", "left_semi")
-    roots = linked(kept(to_core.join(cores.toDF("a"), "a", "left_semi").filter("a <> b")), cores)
-    numbers = dense_index(roots, "root", "cluster").select(F.col("node").alias("b"), "cluster")
-    best = to_core.join(numbers, "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
-    # a core's own number is that of all cores near it
-    out = df.select(F.col(key).cast("long").alias("a")).join(best, "a", "left")
-    return out.select(F.col("a").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    counts = marks_within(rows, rows, eps).groupBy("query_id").agg(F.sum("n").alias("n"))
+    cores = kept(counts.filter(F.col("n") >= min_samples).select(F.col("query_id").alias("id")))
+    flagged = kept(rows.join(cores.withColumn("core", F.lit(True)), "id", "left"))
+    inner = flagged.filter("core").drop("core")
+    labels = kept(linked_within(inner, eps))
+    least = labels.groupBy("node").agg(F.min("label").alias("a"), F.collect_set("label").alias("labels"))
+    links = least.select("a", F.explode("labels").alias("b")).filter("a <> b").distinct()
+    # labels are rows of their component, so the least of those that are linked is its least key
+    joined = linked(kept(links.union(links.select("b", "a"))), labels.select(F.col("label").alias("node")).distinct())
+    roots = least.select("node", F.col("a").alias("label")).join(joined.withColumnRenamed("node", "label"), "label").select("node", "root")
+    numbers = kept(dense_index(roots, "root", "cluster").select(F.col("node").alias("id"), "cluster"))
+    outer = flagged.filter("core IS NULL")
+    beside = marks_within(outer, inner.join(numbers, "id"), eps, "cluster").groupBy(F.col("query_id").alias("id")).agg(F.min("mark").cast("int").alias("cluster"))
+    out = rows.select("id").join(numbers.unionByName(beside), "id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def dbscan_predict(queries: DataFrame, train: DataFrame, fitted: DataFrame, eps: float, key: str, vector: str) -> DataFrame:
     """Majority cluster within eps; noise votes -1, and so does an empty neighbourhood."""
-    pairs = within(queries, train, eps, key, vector).join(fitted.withColumnRenamed(key, "train_id"), "train_id")
-    votes = pairs.groupBy("query_id", "cluster").agg(F.count("*").alias("n"))
-    best = votes.groupBy("query_id").agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"))).alias("b"))
+    marked = train.select(key, vector).join(fitted.select(key, "cluster"), key)
+    votes = marks_within(queries, marked, eps, "cluster", key, vector)
+    best = votes.groupBy("query_id").agg(F.max(F.struct("n", (-F.col("mark")).alias("c"))).alias("b"))
     out = queries.select(F.col(key).alias("query_id")).join(best, "query_id", "left")
-    return out.select("query_id", F.coalesce(-F.col("b.c"), F.lit(-1)).alias("cluster"))
+    return out.select("query_id", F.coalesce(-F.col("b.c"), F.lit(-1)).cast("int").alias("cluster"))
 
 
 def matched_accuracy(df: DataFrame, truth: str, cluster: str, last_wins: bool = False, classes: int | None = None) -> DataFrame:
