@@ -197,14 +197,16 @@ def test_dbscan_shuffles_in_proportion(spark, monkeypatch):
     """Neither pairs nor blocks for each other block: four times the rows, about four times the bytes."""
     monkeypatch.setattr(similarity, "BLOCK", 100)
     r, took = np.random.default_rng(5), []
-    for n in (3000, 12000):
-        points = np.stack([np.arange(n) % 10 * 5.0, *r.random((3, n))], axis=1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    for n in (2000, 8000):
+        points = np.stack([np.arange(n) % 10 * 50.0, *r.random((63, n)) / 16], axis=1)
         df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<float>").repartition(4).cache()
         df.count()
         before = shuffled(spark)
         got = {x.id: x.cluster for x in cluster.dbscan(df, "id", "vector", 0.5, 5).collect()}
         took.append(shuffled(spark) - before)
         assert got == {i: i % 10 for i in range(n)}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert took[1] < 6 * took[0]
 
 
